@@ -1,4 +1,10 @@
 """The registered queries and the SQL that checks them."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from chronoloom.queries import features, preparation  # noqa: F401  they register themselves
+from chronoloom.queries.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
