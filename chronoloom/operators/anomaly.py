@@ -179,8 +179,8 @@ def dbscan(df: DataFrame, by: Cols, key: str, columns: Cols, eps: float, least:
 
 def dbscan_core(df: DataFrame, by: Cols, key: str, column: str, eps: float, least: int) -> DataFrame:
     """(by, key, n_near, is_core) in one dimension: a range frame counts the rows within eps, with no join."""
-    frame = Window.partitionBy(*by).orderBy(column).rangeBetween(-eps, eps)
-    n = F.count(F.lit(1)).over(frame)
+    part = ", ".join(f"`{c}`" for c in by)
+    n = F.expr(f"count(1) OVER (PARTITION BY {part} ORDER BY CAST(`{column}` AS double) RANGE BETWEEN {float(eps)!r}D PRECEDING AND {float(eps)!r}D FOLLOWING)")
     return df.select(*by, key, n.alias("n_near"), (n >= least).alias("is_core"))
 
 

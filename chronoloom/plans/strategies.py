@@ -71,7 +71,8 @@ def tail_arrays(history: DataFrame, by: Cols, columns: Cols, n: int) -> DataFram
     """(by, _h_{c}): the last n values of each column in order; n is the largest lag, so arrays stay small."""
     tail = last_rows(history, by, ["time"], n)
     rows = F.array_sort(F.collect_list(F.struct("time", *columns)))
-    return tail.groupBy(*by).agg(rows.alias("_r")).select(*by, *[F.transform("_r", lambda r, c=c: r[c].cast("double")).alias(f"_h_{c}") for c in columns])
+    values = lambda c: F.transform("_r", lambda r: r[c].cast("double")).alias(f"_h_{c}")
+    return tail.groupBy(*by).agg(rows.alias("_r")).select(*by, *map(values, columns))
 
 
 def recursive(history: DataFrame, future: DataFrame, by: Cols, target: str, endogenous: Cols, exogenous: Cols, steps: Sequence[int], horizon: int, predict: Cols | None = None, penalty: float = 0.0) -> DataFrame:

@@ -73,9 +73,9 @@ def roll_wide_mean(spark, d):
     return windows.wide_mean(hourly(spark, d), BY, ORDER, "y", 168)
 
 
-@query("expanding_stats", "sid time y_expanding_mean:d y_expanding_std:d y_expanding_min:d y_expanding_max:d", f"WITH {TYPED}\n---\nSELECT sid, time, avg(y) OVER f AS y_expanding_mean, stddev_samp(y) OVER f AS y_expanding_std, min(y) OVER f AS y_expanding_min, max(y) OVER f AS y_expanding_max FROM ty WINDOW f AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+@query("expanding_stats", "sid time y_expanding_mean:d y_expanding_std:d y_expanding_min:d y_expanding_max:d", f"WITH {TYPED}\n---\nSELECT sid, time, avg(y) OVER f AS y_expanding_mean, stddev_samp(y) OVER f AS y_expanding_std, min(y) OVER f AS y_expanding_min, max(y) OVER f AS y_expanding_max FROM (SELECT sid, time, y * 0.6180339887::DOUBLE AS y FROM ty) WINDOW f AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def expanding_stats(spark, d):
-    return windows.expanding(typed(spark, d), BY, ORDER, ["y"])
+    return windows.expanding(typed(spark, d).withColumn("y", F.col("y") * 0.6180339887), BY, ORDER, ["y"])
 
 
 @query("diff", "time y_diff_1:d y_diff_7:d y_diff_24:d", f"WITH {HOURLY}\n---\nSELECT time, y - lag(y, 1) OVER ({W}) AS y_diff_1, y - lag(y, 7) OVER ({W}) AS y_diff_7, y - lag(y, 24) OVER ({W}) AS y_diff_24 FROM h")
