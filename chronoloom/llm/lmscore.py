@@ -159,17 +159,17 @@ def score(docs: DataFrame, mu: float = MU, folds: int = FOLDS, block_bytes: int
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held.alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, blocks)
-    rows = rows.withColumn("block", F.expr(f"cast(pmod(xxhash64(doc_id, text), {blocks}) as int)")).repartition(max(parts, blocks), "block")
+    blocks = buckets = max(parts, -(-size // block_bytes))
+    rows = rows.withColumn("block", F.expr(f"cast(pmod(xxhash64(doc_id, text), {blocks}) as int)")).repartition(blocks, "block")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def ask(t: pa.Table) -> pa.Table:
         return _requests(t.column("block")[0].as_py(), t.column("text").to_pylist(), ~np.array(t.column("held_out")), buckets)
 
     asked = rows.groupBy("block").applyInArrow(ask, "bucket int, block int, kind int, keys binary, counts binary")
-    told = durable(asked.repartition(max(parts, blocks), "bucket").groupBy("bucket").applyInArrow(_answers, "block int, bucket int, kind int, at binary, totals binary, n bigint, v bigint"))
+    told = durable(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers, "block int, bucket int, kind int, at binary, totals binary, n bigint, v bigint"))
+    spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop the first job's shuffle files now, not at some later collection
     n, v = (x or 0 for x in told.filter("block = -1").agg(F.sum("n"), F.sum("v")).first())
 
     def tell(t: pa.Table, answers: pa.Table) -> pa.Table:
