@@ -2,9 +2,10 @@
 
 States are the start state and one state per word; an explicit arc v -> w carries the
 smoothed bigram log-probability, and every state's failure arc leads to the unigram
-state with weight mu / (c(v) + mu):
+state with a weight that falls from one, for states never seen, to FLOOR:
 
-    P(w | v) = (c(v, w) + mu * P(w)) / (c(v) + mu),   P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
+    P(w | v) = (1 - FLOOR) c(v, w) / (c(v) + mu) + b(v) P(w),   b(v) = FLOOR + (1 - FLOOR) mu / (c(v) + mu),
+    P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
 which sums to one for every state.  A text is read once, left to right; the state after
 a word is that word, and log-probabilities add up.
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import FOLD, durable, require
 
-#: Backoff mass of a state, in counts; folds that are held out; text bytes of a block.
-MU, FOLDS, BLOCK_BYTES = 50.0, 10, 12 << 20
+#: Least backoff weight and its mass in counts; folds, the first of which is held out; text bytes of a block.
+FLOOR, MU, FOLDS, BLOCK_BYTES = 0.6, 3.0, 10, 12 << 20
 
 WORDS, BIGRAMS = 0, 1
 
@@ -110,9 +111,9 @@ class Block:
         c[self.order[0]], c2[self.order[1]] = total
         with np.errstate(divide="ignore"):
             p = (c + 0.1) / (n + 0.1 * (v + 1))
-        fail = mu / (c + mu)  # the weight of each state's failure arc
+        fail = FLOOR + (1 - FLOOR) * mu / (c + mu)  # the weight of each state's failure arc
         lead, w = self.before, self.word
-        arc = c2[self.pair] / (c[lead] + mu) + fail[lead] * p[w]
+        arc = (1 - FLOOR) * c2[self.pair] / (c[lead] + mu) + fail[lead] * p[w]
         add = lambda x: np.add.reduceat(x, self.at)
         return self.size, add((c[w] > 0).astype(np.int64)), add(np.log10(p[w])), add(np.log10(arc))
 

@@ -35,7 +35,7 @@ from chronoloom.llm.common import require
 KINDS = ("assign", "access", "hex", "format")
 SAMPLE = 400
 #: A candidate's least length; the log-odds a character and over all that it needs.
-LEAST, PER_CHAR, IN_ALL = 20, 0.5, 20.0
+LEAST, PER_CHAR, IN_ALL = 20, 0.5, 12.0
 
 _ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
