@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators import aggregates as agg
 from chronoloom.operators import joins, windows
 from chronoloom.operators.align import over
+from chronoloom.operators.chunks import chunked, own_rows
 from chronoloom.plans import backtest as bt
 from chronoloom.plans import deterministic as det
 from chronoloom.queries.base import BY, DAILY, HOURLY, ORDER, SHIPPED, TYPED, W, daily, hourly, query, shipped, table, typed
@@ -78,6 +79,13 @@ def expanding_stats(spark, d):
     return windows.expanding(typed(spark, d).withColumn("y", F.col("y") * 0.6180339887), BY, ORDER, ["y"])
 
 
+@query("roll_chunked", "time y_lag_24:d y_rolling_mean_24:d", f"WITH {HOURLY}\n---\nSELECT time, lag(y, 24) OVER ({W}) AS y_lag_24, avg(y) OVER ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS y_rolling_mean_24 FROM h")
+def roll_chunked(spark, d):
+    h = chunked(hourly(spark, d), "time", 7 * 86400, 25 * 3600)
+    t = windows.lags(h, [*BY, "chunk"], ORDER, ["y"], [24])
+    return own_rows(windows.rolling(t, [*BY, "chunk"], ORDER, ["y"], [24], ["mean"]))
+
+
 @query("diff", "time y_diff_1:d y_diff_7:d y_diff_24:d", f"WITH {HOURLY}\n---\nSELECT time, y - lag(y, 1) OVER ({W}) AS y_diff_1, y - lag(y, 7) OVER ({W}) AS y_diff_7, y - lag(y, 24) OVER ({W}) AS y_diff_24 FROM h")
 def diff(spark, d):
     return windows.diffs(hourly(spark, d), BY, ORDER, ["y"])
@@ -293,15 +301,15 @@ KERNELS = {c: " + ".join(f"exp(-{c} / (w * pow(2.0::DOUBLE, {i - 2})))" for i in
 
 
 @query("mmd_linear", "pairs:l k_source:d k_target:d k_between:d mmd:d", f"""
-WITH n AS (SELECT embedding::DOUBLE[] AS v, label % 2 AS part FROM embeddings),
-a AS (SELECT v, row_number() OVER (ORDER BY v) AS k FROM n WHERE part = 0), b AS (SELECT v, row_number() OVER (ORDER BY v) AS k FROM n WHERE part = 1),
-j AS (SELECT a.k, (a.k - 1) // 2 AS p, a.v AS x, b.v AS y FROM a JOIN b ON a.k = b.k),
-q AS (SELECT p, arg_min(x, k) AS x1, arg_max(x, k) AS x2, arg_min(y, k) AS y1, arg_max(y, k) AS y2 FROM j GROUP BY p HAVING count(*) = 2),
+WITH n AS (SELECT embedding::DOUBLE[] AS v, label % 2 AS part, vec_id % 64 AS s, vec_id FROM embeddings),
+a AS (SELECT v, s, row_number() OVER (PARTITION BY s ORDER BY vec_id) AS k FROM n WHERE part = 0), b AS (SELECT v, s, row_number() OVER (PARTITION BY s ORDER BY vec_id) AS k FROM n WHERE part = 1),
+j AS (SELECT a.k, a.s, (a.k - 1) // 2 AS p, a.v AS x, b.v AS y FROM a JOIN b ON a.k = b.k AND a.s = b.s),
+q AS (SELECT p, s, arg_min(x, k) AS x1, arg_max(x, k) AS x2, arg_min(y, k) AS y1, arg_max(y, k) AS y2 FROM j GROUP BY p, s HAVING count(*) = 2),
 d AS (SELECT list_distance(x1, x2) ** 2 AS xx, list_distance(y1, y2) ** 2 AS yy, list_distance(x1, y2) ** 2 AS xy, list_distance(x2, y1) ** 2 AS yx FROM q),
 w AS (SELECT *, avg((xx + yy + xy + yx) / 4) OVER () AS w FROM d),
 k AS (SELECT {KERNELS["xx"]} AS xx, {KERNELS["yy"]} AS yy, {KERNELS["xy"]} AS xy, {KERNELS["yx"]} AS yx FROM w)
 ---
 SELECT count(*) AS pairs, avg(xx) AS k_source, avg(yy) AS k_target, avg((xy + yx) / 2) AS k_between, avg(xx + yy - xy - yx) AS mmd FROM k""")
 def mmd_linear(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"), (F.col("label") % 2).alias("part"))
-    return joins.kernel_sums(e.filter("part = 0"), e.filter("part = 1"), "v")
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("label") % 2).alias("part"))
+    return joins.kernel_sums(e.filter("part = 0"), e.filter("part = 1"), "vec_id", "v")
