@@ -102,7 +102,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
                 maybe = (guess + off >= floor[:, None]) & ~own
                 for r in range(len(maybe)):
                     got = np.flatnonzero(maybe[r])
-                    exact = cx[got] @ qx[at + r]
+                    exact = np.cumsum(cx[got] * qx[at + r], axis=1)[:, -1]  # summed in order, so the same in any block
                     first = np.lexsort((ci[got], -exact))[:k]
                     out[0] += [qi[at + r]] * len(first)
                     out[1] += ci[got[first]].tolist()
