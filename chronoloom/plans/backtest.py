@@ -152,3 +152,27 @@ def panel_cv(df: DataFrame, by: Cols, target: str, horizon: int, windows: int, s
     return best_model(every.groupBy(*by).agg(*[F.avg(F.abs(F.col("y") - F.col(n))).alias(n) for n in names]), names)
 
 
+
+
+def backtest_recursive(df: DataFrame, bounds: DataFrame, by: Cols, target: str, exogenous: Cols, steps: Sequence[int], penalty: float = 1e-6) -> DataFrame:
+    """(by, window, time, step, y, predict_value): from one origin a window, test values are never seen; lags come from earlier predictions."""
+    from chronoloom.plans.strategies import recursive_kernel
+
+    cols, steps, k = list(exogenous), list(steps), max(steps)
+    rows = in_windows(df.select(*by, "time", target, *cols), bounds, by).na.drop(subset=[target, *cols])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("time", kind="stable")
+        train, test = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"]
+        y, x = train[target].to_numpy(float), train[cols].to_numpy(float)
+        p = np.full(len(test), np.nan)
+        if len(y) > k + len(steps) + len(cols) + 1 and len(test):
+            a = np.column_stack([y[k - s : len(y) - s] for s in steps] + [x[k:, j] for j in range(len(cols))])
+            m, s = a.mean(0), np.where(a.std(0) > 0, a.std(0), 1)
+            z = np.c_[np.ones(len(a)), (a - m) / s]
+            w = np.linalg.solve(z.T @ z + penalty * np.eye(z.shape[1]), z.T @ y[k:])
+            p = np.array(recursive_kernel(lambda v: float(w[0] + w[1:] @ ((v - m) / s)), y, test[cols].to_numpy(float), steps))
+        return test[[*by, "window", "time"]].assign(step=np.arange(1, len(test) + 1, dtype=np.int32), y=test[target].astype(float), predict_value=p)
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    return rows.groupBy(*by, "window").applyInPandas(run, f"{kinds}, window int, time {df.schema['time'].dataType.simpleString()}, step int, y double, predict_value double")

@@ -538,3 +538,32 @@ def stream_sessions(spark, d):
 @query("stream_point_check", "event_type ts value:d smooth:d is_anomaly")
 def stream_point_check(spark, d):
     return _stream(spark, d, lambda s: streams.point_check(s, "event_type", "ts", "value"), "append")
+
+
+def _run(spark, d, method):
+    from chronoloom.config import ForecastConfig
+    from chronoloom.plans.run import run
+
+    events = table(spark, d, "events").select(F.col("event_type").alias("sid"), F.window("ts", "1 hour").getField("start").alias("time"), "value")
+    series = events.groupBy("sid", "time").agg(F.avg("value").alias("load"), F.count(F.lit(1)).cast("double").alias("n"))
+    cfg = ForecastConfig("load", (1, 2, 24), "h", method=method, numeric=("n",), window_days=14, datetime_features=("hour", "weekday"))
+    return run(cfg, {"target_series": series}, BY, windows_limit=3)
+
+
+@query("run_scores", "sid window mae:d rmse:d r2:d")
+def run_scores(spark, d):
+    return _run(spark, d, "USMR").scores
+
+
+@query("run_forecast", "sid time step:i predict_value:d")
+def run_forecast(spark, d):
+    return _run(spark, d, "MSMR").forecast
+
+
+@query("suod_average", "sid time average:d maximum:d")
+def suod_average(spark, d):
+    s = shipped(spark, d).filter("time < timestamp_ntz'1996-06-01'")
+    lof = ad.density(s, BY, "time", "rev", "lof", 20).withColumnRenamed("score", "lof")
+    forest = ad.isolation_forest(lof, BY, ["qty", "rev"], trees=20).drop("is_anomaly").withColumnRenamed("score", "forest")
+    near = ad.knn_distance(s, BY, "time", "rev", 5)
+    return ad.combine_scores(forest.join(near, ["sid", "time"]), ["lof", "forest", "knn_mean"])
