@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import FOLD, durable, require
+from chronoloom.llm.common import FOLD, require
 
 #: Least backoff weight and its mass in counts; folds, the first of which is held out; text bytes of a block.
 FLOOR, MU, FOLDS, BLOCK_BYTES = 0.6, 3.0, 10, 12 << 20
@@ -169,13 +169,14 @@ def score(docs: DataFrame, mu: float = MU, folds: int = FOLDS, block_bytes: int
         return _requests(t.column("block")[0].as_py(), t.column("text").to_pylist(), ~np.array(t.column("held_out")), buckets)
 
     asked = rows.groupBy("block").applyInArrow(ask, "bucket int, block int, kind int, keys binary, counts binary")
-    told = durable(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers, "block int, bucket int, kind int, at binary, totals binary, n bigint, v bigint"))
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop the first job's shuffle files now, not at some later collection
-    n, v = (x or 0 for x in told.filter("block = -1").agg(F.sum("n"), F.sum("v")).first())
+    told = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answers, "block int, bucket int, kind int, at binary, totals binary, n bigint, v bigint")
+    # One row: N and V.  Both uses of the answers, and both of the rows, share their exchanges, so texts and requests are shuffled once.
+    sums = told.filter("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum("v"), F.lit(0)).cast("long").alias("v"))
 
     def tell(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return pa.table({k: pa.array([], d) for k, d in (("doc_id", t.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
+            return pa.table({k: pa.array([], d) for k, d in (("doc_id", t.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
+        n, v = (t.column(c)[0].as_py() for c in ("n", "v"))
         held_out = np.array(t.column("held_out"))
         b = Block(t.column("text").to_pylist(), ~held_out)
         total = tuple(c.copy() for c in b.counts)
@@ -184,11 +185,11 @@ def score(docs: DataFrame, mu: float = MU, folds: int = FOLDS, block_bytes: int
             k = k.as_py()
             total[k][starts[k][i.as_py()] + unpack(at.as_buffer(), np.uint32).astype(np.int64)] = unpack(totals.as_buffer(), np.uint32)
         tokens, known, base, own = b.traverse(total, n, v, mu)
-        return pa.table({"doc_id": t.column("doc_id"), "held_out": pa.array(held_out), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(own)})
+        return pa.table({"doc_id": t.column("doc_id"), "held_out": pa.array(held_out), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(tokens), n)), "base_score": pa.array(base), "score": pa.array(own)})
 
     replies = told.filter("block >= 0").select("block", "bucket", "kind", "at", "totals")
-    scored = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(tell, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
+    summed = rows.join(F.broadcast(sums), how="cross")  # with that one row
+    return summed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(tell, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
