@@ -7,7 +7,7 @@ weighs characters for each tag by the share of link characters and link tags; a
 density sum is that of its children.  The node of the largest sum gives the article, the
 least density on its path up to the body is the threshold, and other parts of the body
 that reach the threshold count as content, each by its own subtree of largest sum.
-A subtree inside an <article> widens to that element.
+A subtree inside an <article>, or else a <main>, widens to that element.
 
 Defined results: a null, empty or tagless page is handled like any other (its text is
 what remains after the rules, possibly empty); unclosed and stray tags are repaired;
@@ -41,8 +41,8 @@ _DROP = frozenset("head script style noscript template nav header footer aside f
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _WHOLE = frozenset("html body main article".split())
 #: Words of class and id that name what is no article text.
-_NAMES = re.compile(r"ads?|adv|advert\w*|adsense|adslot|adbox|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|notification\w*|newsletter|subscri\w*|signup|login|sidebar\w*|menu\w*|nav|navbar|navigation|navi|breadcrumbs?|share|sharing|social\w*|related\w*|recommend\w*|footer\w*|header\w*|masthead|popup|modal|overlay|toolbar|pagination|pager|widget\w*|search\w*|disclaimer|copyright|skip|toc|tags|outbrain|taboola")
-_COMMENTS = re.compile(r"comments?|commentlist|disqus\w*|replies|reply|respond|discussion|reviews?")
+_NAMES = re.compile(r"ads?|adv|advert\w*|adsby\w*|adsense|adslot|adbox|alert\w*|announcements?|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|notification\w*|newsletter|subscri\w*|signup|login|sidebar\w*|menu\w*|nav|navbar|navigation|navi|breadcrumbs?|share|sharing|social\w*|related\w*|recommend\w*|footer\w*|header\w*|masthead|popup|modal|overlay|paywall|toast|toolbar|pagination|pager|widget\w*|search\w*|disclaimer|copyright|skip|toc|tags|outbrain|taboola")
+_COMMENTS = re.compile(r"comments?|commentlist|disqus\w*|feedback|guestbook|replies|reply|respond|discussion|reviews?")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -190,16 +190,15 @@ class Page:
         content = [False] * n
 
         def widened(i: int) -> int:
-            j = i
-            while j:
-                if tag[j] == "article":
-                    i = j
-                j = parent[j]
-            return i
+            above = []
+            while i:
+                above.append(i)
+                i = parent[i]
+            return next((j for kind in ("article", "main") for j in reversed(above) if tag[j] == kind), above[0] if above else 0)
 
         marked = {widened(top)}
         home = widened(top)
-        if tag[home] != "article":  # other parts count only where no article element says what is one
+        if tag[home] not in ("article", "main"):  # other parts count only where no element says what the article is
             for i in live:
                 if parent[i] == parent[home] and i != home and density[i] >= max(least, 1e-9) and total[best[i]] > 0.1 * total[top]:
                     marked.add(best[i])
