@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def chunked(df: DataFrame, time: str, size: int, before: int) -> DataFrame:
     """Rows with ``chunk`` (of ``size`` seconds) and ``own``; a row in the last ``before`` seconds of a chunk also opens the next one, not as its own.
 
-    Windows over at most ``before`` seconds back, partitioned by series and chunk, then give every own row what windows over the whole series would.
+    On a regular grid, windows over rows of at most ``before`` seconds back, partitioned by series and chunk, then give every own row what windows over the whole series would.
     """
     if before > size:
         raise ValueError("the overlap is longer than a chunk")

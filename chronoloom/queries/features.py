@@ -79,10 +79,10 @@ def expanding_stats(spark, d):
     return windows.expanding(typed(spark, d).withColumn("y", F.col("y") * 0.6180339887), BY, ORDER, ["y"])
 
 
-@query("roll_chunked", "time y_lag_24:d y_rolling_mean_24:d", f"WITH {HOURLY}\n---\nSELECT time, lag(y, 24) OVER ({W}) AS y_lag_24, avg(y) OVER ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS y_rolling_mean_24 FROM h")
+@query("roll_chunked", "sid time y_lag_24:d y_rolling_mean_24:d", f"WITH {TYPED}\n---\nSELECT sid, time, lag(y, 24) OVER ({W}) AS y_lag_24, avg(y) OVER ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS y_rolling_mean_24 FROM ty")
 def roll_chunked(spark, d):
-    h = chunked(hourly(spark, d), "time", 7 * 86400, 25 * 3600)
-    t = windows.lags(h, [*BY, "chunk"], ORDER, ["y"], [24])
+    cut = chunked(typed(spark, d), "time", 7 * 86400, 25 * 3600)  # on a regular grid 25 hours hold 24 rows before any row
+    t = windows.lags(cut, [*BY, "chunk"], ORDER, ["y"], [24])
     return own_rows(windows.rolling(t, [*BY, "chunk"], ORDER, ["y"], [24], ["mean"]))
 
 
