@@ -33,8 +33,8 @@ from chronoloom.llm.common import require
 
 #: The byte-level pre-tokenizer's pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pieces, words and pairs that a worker remembers.
-MEMORY = 400_000
+#: Words, pieces and pairs that a worker remembers; words matter most, and a pair is soon tested again.
+WORDS, PIECES_KEPT, PAIRS_KEPT = 360_000, 200_000, 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,14 +47,14 @@ def byte_letters() -> dict[str, int]:
 class Memory(dict):
     """Ids by string, made when first met; long strings aren't kept."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> tuple[int, ...]:
         ids = self.make(key)
         if len(key) <= 64:
-            if len(self) >= MEMORY:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = ids
         return ids
@@ -91,9 +91,9 @@ class Codec:
                 self.automaton.add_word(self.bytes[i].decode("latin-1"), (i, len(self.bytes[i])))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces = Memory(lambda piece: self.encode_piece(piece.encode("utf-8", "surrogatepass").decode("latin-1")))
+        self.pieces = Memory(lambda piece: self.encode_piece(piece.encode("utf-8", "surrogatepass").decode("latin-1")), PIECES_KEPT)
         #: A piece ends before every single space that a visible character follows, so what follows it can be remembered whole.
-        self.spaced = Memory(lambda word: self.encode_part(" " + word))
+        self.spaced = Memory(lambda word: self.encode_part(" " + word), WORDS)
         self.find = regex.compile(PIECES).findall
         self.plain = lambda text, search=re.compile(r" (?:\s|\Z)").search: search(text) is None
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
@@ -102,7 +102,7 @@ class Codec:
         """Whether BPE leaves the border of the pair's bytes unmerged when both sides reach these tokens."""
         got = self.pairs.get(pair)
         if got is None:
-            if len(self.pairs) >= MEMORY:
+            if len(self.pairs) >= PAIRS_KEPT:
                 self.pairs.clear()
             got = self.pairs[pair] = self._fits(*pair)
         return got
