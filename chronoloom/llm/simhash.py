@@ -219,8 +219,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> D
 
     Rows without an id are kept only where no row of their group has one.
     """
+    return keep_first(docs, near_groups(docs, shingle, budget))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The first document of each of ``groups`` (doc_id, th, root, component_id)."""
     names = [F.col(f"`{c}`") for c in docs.columns]
-    groups = near_groups(docs, shingle, budget)
     mine = F.coalesce(F.col("component_id").cast("string"), F.lit("\0")), F.when(F.col("component_id").isNull(), F.col("root"))
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(mine[0].alias("id"), mine[1].alias("f")).agg(F.min("th").alias("th"))
     first = durable(first.select("id", "th"))
