@@ -135,12 +135,16 @@ def knn_distance(df: DataFrame, by: Cols, key: str, column: str, k: int) -> Data
     return neighbours(df, by, key, column, k).groupBy(*by, key).agg(F.avg("distance").alias("knn_mean"), F.max("distance").alias("knn_max"))
 
 
+#: Query rows broadcast at once, or held in one block.
+QUERY_BLOCK = 20_000
+
+
 def vector_knn(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(key, knn_mean, knn_max) of a stated set of query rows against all rows; the queries are broadcast below a checked size."""
-    if queries.limit(20_001).count() > 20_000:
-        raise ValueError("split the queries into sets of at most 20000 rows")
+    """(key, knn_mean, knn_max) of a stated set of query rows against all rows; the queries are broadcast up to QUERY_BLOCK rows, else dealt into blocks of so many, each joined with all rows."""
+    count = queries.count()
     d = F.sqrt(F.aggregate(F.zip_with("qv", vector, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
-    q = F.broadcast(queries.select(F.col(key).alias("q"), F.col(vector).alias("qv")))
+    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("qv"))
+    q = F.broadcast(q) if count <= QUERY_BLOCK else q.repartition(-(-count // QUERY_BLOCK))
     got = df.join(q, F.col(key) != F.col("q")).select("q", d.alias("d"), key)
     n = F.row_number().over(Window.partitionBy("q").orderBy("d", key))
     return got.withColumn("n", n).filter(F.col("n") <= k).groupBy(F.col("q").alias(key)).agg(F.avg("d").alias("knn_mean"), F.max("d").alias("knn_max"))
