@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from chronoloom.llm import ann, bpe, decontam, htmltext, licenses, lmscore, quality, secrets, sharding, simhash
 from chronoloom.llm.common import FOLD
+from tests.llm.test_nearjaccard import near, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -424,10 +425,14 @@ def test_pipeline(spark, sf):
             x = np.stack([quality.features(r.text) for r in before])
             assert {r.doc_id for r in rows} == {r.doc_id for r, s in zip(before, ranker.score(x), strict=True) if s >= 0.3}
         if k == 1:
-            fp = {r.doc_id: slow_fingerprint(r.text) for r in before}
-            kept = {r.doc_id for r in rows}
-            for i in fp.keys() - kept:
-                assert any(j < i and bin(fp[i] ^ fp[j]).count("1") <= 3 for j in fp)
+            sets = [(r.doc_id, shingles(r.text or "")) for r in before]
+            root = {i: i for i, _ in sets}
+            for a, (i, x) in enumerate(sets):
+                for j, y in sets[:a]:
+                    if near(x, y) and root[i] != root[j]:
+                        lo, hi = sorted((root[i], root[j]))
+                        root = {n: lo if r == hi else r for n, r in root.items()}
+            assert {r.doc_id for r in rows} == set(root.values()) < set(root)
         if k == 2:
             dirty = {i for i, _, h, _ in leaks([(r.doc_id, r.text) for r in before], bench) if h}
             assert {r.doc_id for r in rows} == {r.doc_id for r in before} - dirty
