@@ -34,7 +34,7 @@ from chronoloom.llm.common import require
 #: The byte-level pre-tokenizer's pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words, pieces and pairs that a worker remembers; words matter most, and a pair is soon tested again.
-WORDS, PIECES_KEPT, PAIRS_KEPT = 360_000, 200_000, 150_000
+WORDS, PIECES_KEPT, PAIRS_KEPT = 120_000, 60_000, 60_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -181,13 +181,6 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _table(path: str) -> str:
-    """The path, or where this machine's own copy of that public file is."""
-    import os
-
-    return path if os.path.exists(path) else default_path()
-
-
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """All rows with n_tokens and ids (array of int)."""
     require(docs, "text")
@@ -199,7 +192,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     at = rest.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(_table(path))
+        c = codec(path)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
@@ -216,7 +209,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(_table(path))
+        c = codec(path)
         for b in batches:
             n, first, second = [], [], []
             for t in b.column(1):

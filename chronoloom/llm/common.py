@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -16,17 +16,35 @@ FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 BROADCAST_BYTES = 32 << 20
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+#: Bytes of an Arrow batch of whole texts; a worker holds a batch and what it makes of it.
+BATCH_BYTES = 8 << 20
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one only on a single machine that names none."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or tempfile.mkdtemp(prefix="shared-")).rstrip("/")
+
 
-    A temporary folder is set only where the session names none (local tests).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to BATCH_BYTES."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_ = spark.conf.get(name).removesuffix("b")
+    if not set_.isdigit() or int(set_) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def fold_case(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(text, UPPER, LOWER)
