@@ -1,13 +1,18 @@
 """Main text of web pages by composite text density.
 
 A tolerant parser builds the page's tree; elements that are no article text by their
-nature (navigation, headers, footers, asides, forms, scripts, hidden ones, adverts,
-notices, reader comments) are set aside.  For every remaining node the composite density
-weighs characters for each tag by the share of link characters and link tags; a node's
-density sum is that of its children.  The node of the largest sum gives the article, the
-least density on its path up to the body is the threshold, and other parts of the body
-that reach the threshold count as content, each by its own subtree of largest sum.
-A subtree inside an <article>, or else a <main>, widens to that element.
+nature (navigation, headers, footers, asides, forms, scripts, hidden ones, reader
+comments) are set aside.  For every remaining node the composite density weighs characters
+for each tag by the share of link characters and link tags; a node's density sum is that of
+its children.  The node of the largest sum is the core of the article, and the least
+density on its path up to the body is the threshold: on every page, at any depth, the
+densest part of whatever reaches it is content as well.  Headings before content and
+blocks between contents belong to it, unless they consist mostly of links; an <article>, or
+else a <main>, around the core is content as a whole.
+
+Elements whose class or id names an advert, a notice and the like are set aside too, before
+densities are summed; one that holds block elements and a larger sum than all the rest is
+taken for a page's wrapper instead.
 
 Defined results: a null, empty or tagless page is handled like any other (its text is
 what remains after the rules, possibly empty); unclosed and stray tags are repaired;
@@ -19,7 +24,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -28,7 +34,8 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import require
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/><]*)", re.S)
+_STOP = re.compile("[\"'>]")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +46,10 @@ _ENDS_P = _BLOCK - {"br", "body", "html", "caption", "td", "th", "tr", "tbody",
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
 _DROP = frozenset("head script style noscript template nav header footer aside form iframe svg math button select textarea title object embed canvas audio video map dialog menu fieldset label noframes xmp".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_INLINE = frozenset("p b i a span em strong".split())
+#: What an inline end tag doesn't reach out of.
+_HOLDS = frozenset("article body td table".split())
 _WHOLE = frozenset("html body main article".split())
 #: Words of class and id that name what is no article text.
 _NAMES = re.compile(r"ads?|adv|advert\w*|adsby\w*|adsense|adslot|adbox|alert\w*|announcements?|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|notification\w*|newsletter|subscri\w*|signup|login|sidebar\w*|menu\w*|nav|navbar|navigation|navi|breadcrumbs?|share|sharing|social\w*|related\w*|recommend\w*|footer\w*|header\w*|masthead|popup|modal|overlay|paywall|toast|toolbar|pagination|pager|widget\w*|search\w*|disclaimer|copyright|skip|toc|tags|outbrain|taboola")
@@ -56,33 +67,52 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.drop, self.soft = ["#root"], [0], [False], [False]
         self.events: list[tuple[int, str | None]] = []
+        #: For each name, the places in the stack where it is open.
+        self.opened: dict[str, list[int]] = defaultdict(list)
+        self.html, self.unclosed = html, set()
         stack = [0]
         at, end = 0, len(html)
         while at < end:
             m = _TAG.search(html, at)
-            start = m.start() if m else end
+            close = m.end() if m and not m[2] else self._tag_end(m.end()) if m else -1
+            start = m.start() if close >= 0 else end
             if start > at:
                 self.events.append((stack[-1], html[at:start]))
-            if not m:
+            if close < 0:  # no tag ends any more
                 break
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            at = close
+            if not m[2]:
                 if m[0].startswith("<![CDATA["):
                     self.events.append((stack[-1], m[0][9:].removesuffix("]]>").replace("&", "&amp;")))
                 continue
-            name = name.lower()
-            if m[1] or m[4]:
+            name = m[2].lower()
+            if m[1]:
                 self._close(stack, name)
                 continue
-            raw = (m[3] if m[2] else m[6]) or ""
-            self._open(stack, name, raw)
+            self._open(stack, name, html[m.end() : at - 1])
             if name in _RAW:
                 shut = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(html, at)
                 at = shut.end() if shut else end
-                stack.pop()
+                self._leave(stack)
             elif name in _VOID:
-                stack.pop()
+                self._leave(stack)
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin here; quotes that never pair up are taken as they are."""
+        html, path, x = self.html, [], at
+        first = html.find(">", at)
+        if first < 0:
+            return -1
+        while x not in self.unclosed:
+            m = _STOP.search(html, x)
+            if m and m[0] == ">":
+                return m.end()
+            path.append(x)
+            x = html.find(m[0], m.end()) + 1 if m else 0
+            if not x:
+                break
+        self.unclosed.update(path)  # whoever comes here again fails as well
+        return first + 1
 
     def _open(self, stack: list[int], name: str, raw: str) -> None:
         tags = self.tag
@@ -107,47 +137,43 @@ class Page:
         self.soft.append(soft)
         if name in _BLOCK:
             self.events.append((node, None))
+        self.opened[name].append(len(stack))
         stack.append(node)
 
-    def _shut(self, stack: list[int], names: set[str], barrier: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[i]]
-            if t in names:
-                self._pop(stack, i)
-                return
-            if t in barrier:
-                return
+    def _leave(self, stack: list[int]) -> None:
+        self.opened[self.tag[stack.pop()]].pop()
+
+    def _last(self, names: Iterable[str]) -> int:
+        return max((self.opened[t][-1] for t in names if self.opened[t]), default=0)
+
+    def _shut(self, stack: list[int], names: Iterable[str], barrier: Iterable[str]) -> None:
+        i = self._last(names)
+        if i > self._last(barrier):
+            self._pop(stack, i)
 
     def _close(self, stack: list[int], name: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[i]] == name:
-                self._pop(stack, i)
-                return
-            if name in ("p", "b", "i", "a", "span", "em", "strong") and self.tag[stack[i]] in ("article", "body", "td", "table"):
-                return
+        self._shut(stack, (name,), _HOLDS if name in _INLINE else ())
 
     def _pop(self, stack: list[int], i: int) -> None:
-        for node in reversed(stack[i:]):
-            if self.tag[node] in _BLOCK:
-                self.events.append((node, None))
-        del stack[i:]
+        while len(stack) > i:
+            if self.tag[stack[-1]] in _BLOCK:
+                self.events.append((stack[-1], None))
+            self._leave(stack)
 
-    def main_text(self) -> str:
-        tag, parent, n = self.tag, self.parent, len(self.tag)
-        own = [0] * n
+    def _lengths(self) -> tuple[list[int], list[tuple[int, str | None]]]:
+        """Visible characters of each node's own text, and the events with character references decoded."""
+        own = [0] * len(self.tag)
         texts: list[tuple[int, str | None]] = []
         for node, raw in self.events:
             if raw is not None:
                 raw = unescape(raw) if "&" in raw else raw
                 own[node] += len(raw) - sum(map(len, _SPACE.findall(raw)))
             texts.append((node, raw))
-        chars = own[:]
-        for i in range(n - 1, 0, -1):
-            chars[parent[i]] += chars[i]
-        gone = [False] * n
-        for i in range(1, n):
-            # A name alone doesn't set aside what holds most of the page.
-            gone[i] = gone[parent[i]] or self.drop[i] or (self.soft[i] and 2 * chars[i] < chars[0])
+        return own, texts
+
+    def densities(self, own: list[int], gone: list[bool]) -> tuple[list[float], list[float], list[float]]:
+        """Each node's composite density and density sum, and the share of its characters in links."""
+        tag, parent, n = self.tag, self.parent, len(self.tag)
         live = [i for i in range(1, n) if not gone[i]]
         c, t, lc, lt, in_link = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n, [False] * n
         for i in live:
@@ -161,7 +187,7 @@ class Page:
                 lc[p] += lc[i]
                 t[p] += t[i] + 1
                 lt[p] += lt[i] + (tag[i] == "a")
-        body = next((i for i in live if tag[i] == "body"), 0)
+        body = self._body(gone)
         share = lc[body] / c[body] if c[body] else 0.0
         density = [0.0] * n
         for i in (*live, 0):
@@ -169,41 +195,87 @@ class Page:
                 base = math.log(c[i] / max(1.0, c[i] - lc[i]) * lc[i] + share * c[i] + math.e)
                 odds = c[i] / max(1.0, lc[i]) * max(1.0, t[i]) / max(1.0, lt[i])
                 density[i] = c[i] / max(1.0, t[i]) * max(0.0, math.log(odds) / max(1.0, math.log(base) + 1))
-        total = [0.0] * n
-        for i in live:
-            total[parent[i]] += density[i]
-        for i in live:  # a node of bare text is its own only part
-            if own[i] and not total[i]:
+        total, up = [0.0] * n, parent[:]
+        for i in live:  # inline elements are part of the block that they are in
+            up[i] = parent[i] if parent[i] == 0 or tag[parent[i]] in _BLOCK else up[parent[i]]
+            if tag[i] in _BLOCK:
+                total[up[i]] += density[i]
+        for i in (*live, 0):  # a block of text alone is its own only part
+            if c[i] and not total[i] and (i == 0 or tag[i] in _BLOCK):
                 total[i] = density[i]
-        # The largest sum of each subtree: the node that has it.
+        return density, total, [x / y if y else 0.0 for x, y in zip(lc, c, strict=True)]
+
+    def _body(self, gone: list[bool]) -> int:
+        return next((i for i in range(1, len(gone)) if self.tag[i] == "body" and not gone[i]), 0)
+
+    def _below(self, marks: list[bool]) -> list[bool]:
+        """Which nodes are marked or lie in a marked one."""
+        for i in range(1, len(marks)):
+            marks[i] = marks[i] or marks[self.parent[i]]
+        return marks
+
+    def core(self, gone: list[bool], total: list[float]) -> int:
+        """The node of the body with the largest density sum, the first of equals."""
+        inside = self._body(gone)
+        held = self._below([i == inside for i in range(len(gone))])
+        return max((i for i in range(len(gone)) if held[i] and not gone[i]), key=lambda i: (total[i], -i), default=inside)
+
+    def article(self, gone: list[bool], density: list[float], total: list[float], links: list[float]) -> list[bool]:
+        """Which nodes make up the article."""
+        tag, parent, n = self.tag, self.parent, len(self.tag)
+        body, top = self._body(gone), self.core(gone, total)
+        # The largest density sum of each subtree: the node that has it.
         best = list(range(n))
-        for i in reversed(live):
+        for i in range(n - 1, 0, -1):
             p = parent[i]
-            if total[best[i]] > total[best[p]]:
+            if not gone[i] and total[best[i]] > total[best[p]]:
                 best[p] = best[i]
-        top = best[body]
-        least, i = density[top], top
+        path, i = {top}, top
         while i != body and i:
-            least = min(least, density[i])
             i = parent[i]
-        least = min(least, density[body])
-        content = [False] * n
-
-        def widened(i: int) -> int:
-            above = []
-            while i:
-                above.append(i)
-                i = parent[i]
-            return next((j for kind in ("article", "main") for j in reversed(above) if tag[j] == kind), above[0] if above else 0)
-
-        marked = {widened(top)}
-        home = widened(top)
-        if tag[home] not in ("article", "main"):  # other parts count only where no element says what the article is
-            for i in live:
-                if parent[i] == parent[home] and i != home and density[i] >= max(least, 1e-9) and total[best[i]] > 0.1 * total[top]:
-                    marked.add(best[i])
+            path.add(i)
+        least = min(density[i] for i in path)
+        held = self._below([i == body for i in range(n)])
+        # An <article>, or else a <main>, around the core is taken whole.
+        up, i = [], top
+        while i != body and i:
+            up.append(i)
+            i = parent[i]
+        top = next((j for kind in ("article", "main") for j in reversed(up) if tag[j] == kind), top)
+        core = self._below([i == top for i in range(n)])
+        dense = {best[i] for i in range(n) if held[i] and not gone[i] and i not in path and not core[i] and density[i] >= max(least, 1e-9)}
+        content = self._below([i == top or i in dense for i in range(n)])
+        # How many contents each subtree holds, and where it ends.
+        count, end = [int(i == top or i in dense) for i in range(n)], list(range(n))
+        for i in range(n - 1, 0, -1):
+            count[parent[i]] += count[i]
+            end[parent[i]] = max(end[parent[i]], end[i])
+        marked = [i for i in range(n) if i == top or i in dense]
+        first, last = marked[0], max(end[i] for i in marked)
+        taken = [False] * n
         for i in range(n):
-            content[i] = not gone[i] and (i in marked or (i > 0 and content[parent[i]]))
+            if gone[i] or (i and not taken[parent[i]]):
+                continue
+            between = (first < i <= last or tag[i] in _HEADINGS) and not (tag[i] in _BLOCK and links[i] > 0.5)
+            inline = i and tag[i] not in _BLOCK and tag[parent[i]] != "body"
+            taken[i] = bool(content[i] or count[i] or between or inline)
+        return taken
+
+    def main_text(self) -> str:
+        tag, parent, n = self.tag, self.parent, len(self.tag)
+        own, texts = self._lengths()
+        hard = self._below(self.drop[:])
+        blocks_in = [0] * n
+        for i in range(n - 1, 0, -1):
+            blocks_in[parent[i]] += blocks_in[i] + (tag[i] in _BLOCK and not hard[i])
+        # A name sets its element aside, unless that holds blocks and the core of all the page.
+        i, spared = self.core(hard, self.densities(own, hard)[1]), set()
+        while i:
+            if self.soft[i] and blocks_in[i]:
+                spared.add(i)
+            i = parent[i]
+        gone = self._below([hard[i] or (self.soft[i] and i not in spared) for i in range(n)])
+        content = self.article(gone, *self.densities(own, gone))
         blocks, part = [], []
         for node, raw in [*texts, (0, None)]:
             if raw is None:
