@@ -2,14 +2,19 @@
 
 The base patterns find assignments, access keys and hexadecimal strings.  Their values
 are the labelled credentials: a bounded sample of them, for each kind, becomes a prefix
-tree over character classes whose statistically compatible states are merged (ALERGIA
-with Hoeffding bounds) into a probabilistic automaton.  Every other long run of
-credential characters is then scored by its likelihood under each format against that
-of ordinary words.  The base spans always stay; the automata add spans of kind
-``format``.
-
-At most ``SAMPLE`` distinct values of each kind, and as many ordinary words, those with
-the smallest hash, are gathered to fit the automata; scanning covers all texts whole.
+tree over character classes whose statistically compatible states are merged into a
+probabilistic automaton, first states of one depth and then any others (Hoeffding bounds
+on the shares of every class and of ending, for the two states and all that follow).
+Every other run of credential characters, from the shortest labelled length on, is then
+scored by its likelihood under each format against that of ordinary text, a chain of the
+second order over the characters of all texts.  The base spans always stay; the automata
+add spans of kind ``format``.
+
+The automata are fitted on at most ``SAMPLE`` distinct values of each kind, those with the
+smallest hash, as far as they have ``SAMPLE_CHARS`` characters together.  The characters of
+ordinary text are counted over all texts, whole, but for base spans and whatever is long
+enough for a candidate: runs are counted apart by length, and those from the shortest
+labelled length on are left out.  The counts are a table of fixed size.
 
 Defined results: null texts are empty and have no spans; positions are code points, end
 exclusive; repeated rows each give a row; without labelled values no format is inferred
@@ -22,25 +27,32 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import require
+from chronoloom.llm.common import durable, require
 
 KINDS = ("assign", "access", "hex", "format")
-SAMPLE = 400
-#: A candidate's least length; the log-odds a character and over all that it needs.
-LEAST, PER_CHAR, IN_ALL = 20, 0.5, 12.0
+SAMPLE, SAMPLE_CHARS = 400, 1 << 18
+#: The log-odds that a candidate needs for each character and over all; fewer characters than LEAST can't reach the latter.
+PER_CHAR, IN_ALL, LEAST = 0.5, 12.0, 8
+#: Runs of so many credential characters are no ordinary text, whatever the labelled lengths.
+LONG = 20
+#: Values that one task merges for each kind, in numbers of other tasks.
+FAN_IN = 16
 
 _ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 Span = tuple[int, int, str]
@@ -58,8 +70,15 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return found
 
 
-def candidates(text: str, taken: list) -> list[tuple[int, int]]:
-    return [(s, e) for s, e in (m.span() for m in _RUN.finditer(text)) if all(e <= a or b <= s for a, b, *_ in taken)]
+def candidates(text: str, taken: list, least: int = LEAST) -> list[tuple[int, int]]:
+    """Runs of credential characters that touch no span of ``taken``."""
+    found = [(s, e) for s, e in (m.span() for m in _RUN.finditer(text)) if e - s >= least]
+    if not taken or not found:
+        return found
+    spans = sorted((a, b) for a, b, *_ in taken)
+    starts = [a for a, _ in spans]
+    reach = list(accumulate((b for _, b in spans), max))
+    return [(s, e) for s, e in found if not (k := bisect_left(starts, e)) or reach[k - 1] <= s]
 
 
 #: Character classes, each with its size; all else is one class.
@@ -101,19 +120,22 @@ class Automaton:
         self._merge()
         self.out = []
         k = len(_CLASSES) + 2
-        for s in range(len(arcs)):
+        for s in range(len(self.arcs)):
             total = came[s] + 0.01 * k
             self.out.append({c: math.log((n + 0.01) / total) for c, n in (*through[s].items(), (_END, ended[s]))} | {None: math.log(0.01 / total)})
-        self.arcs = arcs
 
     def _differ(self, n1: int, f1: int, n2: int, f2: int) -> bool:
         return n1 > 0 and n2 > 0 and abs(f1 / n1 - f2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
+    def _find(self, s: int) -> int:
+        while self.into[s] != s:
+            self.into[s] = s = self.into[self.into[s]]
+        return s
+
     def _compatible(self, a: int, b: int) -> bool:
-        stack = [(a, b)]
-        seen = set()
+        stack, seen = [(a, b)], set()
         while stack:
-            a, b = stack.pop()
+            a, b = map(self._find, stack.pop())
             if (a, b) in seen or a == b:
                 continue
             seen.add((a, b))
@@ -126,11 +148,14 @@ class Automaton:
                     stack.append((self.arcs[a][c], self.arcs[b][c]))
         return True
 
-    def _fold(self, a: int, b: int) -> None:
-        """Add the tree below b to the automaton at a."""
+    def _join(self, a: int, b: int) -> None:
+        """Make two states one, and all that are reached from them by the same classes."""
         stack = [(a, b)]
         while stack:
-            a, b = stack.pop()
+            a, b = map(self._find, stack.pop())
+            if a == b:
+                continue
+            self.into[b] = a
             self.came[a] += self.came[b]
             self.ended[a] += self.ended[b]
             self.through[a].update(self.through[b])
@@ -140,22 +165,40 @@ class Automaton:
                 else:
                     self.arcs[a][c] = t
 
+    def _next(self, s: int) -> list[int]:
+        return [self._find(self.arcs[s][c]) for c in sorted(self.arcs[s])]
+
     def _merge(self) -> None:
+        self.into = list(range(len(self.arcs)))
+        level = [0]
+        while level:  # states of one depth: a branch alone has too few arrivals to tell anything
+            kept: list[int] = []
+            for t in (t for s in level for t in self._next(self._find(s))):
+                t = self._find(t)
+                if t in kept:
+                    continue
+                same = next((r for r in kept if self._compatible(r, t)), None)
+                if same is None:
+                    kept.append(t)
+                else:
+                    self._join(same, t)
+                    kept = list(dict.fromkeys(map(self._find, kept)))
+            level = kept
         red, at = [0], 0
-        while at < len(red):
-            s = red[at]
-            for c in sorted(self.arcs[s]):
-                blue = self.arcs[s][c]
-                if blue in red:
+        while at < len(red):  # states of any depth: loops
+            for t in self._next(self._find(red[at])):
+                t = self._find(t)
+                red = list(dict.fromkeys(map(self._find, red)))
+                if t in red:
                     continue
-                # States with few arrivals have no statistics of their own; they merge where the bound allows.
-                into = next((r for r in red if self._compatible(r, blue)), None)
-                if into is None:
-                    red.append(blue)
+                same = next((r for r in red if self._compatible(r, t)), None)
+                if same is None:
+                    red.append(t)
                 else:
-                    self.arcs[s][c] = into
-                    self._fold(into, blue)
+                    self._join(same, t)
             at += 1
+        self.states = len({self._find(s) for s in red})
+        self.arcs = [{c: self._find(t) for c, t in own.items()} for own in self.arcs]
 
     def log_likelihood(self, value: str) -> float:
         s: int | None = 0
@@ -171,83 +214,160 @@ class Automaton:
         return total + (worst if s is None else self.out[s].get(_END, self.out[s][None]))
 
 
+#: Ordinary text: a letter's number in the chain's alphabet by its byte; 0 parts words, the last is any byte beyond ASCII.
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
+_LETTER = np.zeros(256, np.int32)
+_LETTER[list(ALPHABET.encode())] = np.arange(1, len(ALPHABET) + 1)
+_LETTER[128:] = len(ALPHABET) + 1
+SYMBOLS = len(ALPHABET) + 2
+
+
+def triples(texts: list[str]) -> np.ndarray:
+    """Counts of three symbols in a row over the texts, each word set apart by single breaks."""
+    raw = np.frombuffer(b" ".join(t.encode("utf-8", "surrogatepass") for t in texts) + b"  ", np.uint8)
+    x = np.concatenate((np.zeros(1, np.int32), _LETTER[raw]))
+    x = x[np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0)))]
+    return np.bincount((x[:-2] * SYMBOLS + x[1:-1]) * SYMBOLS + x[2:], minlength=SYMBOLS**3)
+
+
 class Words:
-    """Ordinary runs: a Markov chain of the second order over characters."""
+    """Ordinary text: a Markov chain of the second order over characters, smoothed by the shares of single ones."""
 
-    def __init__(self, values: list[str]):
-        self.count: dict[str, Counter] = defaultdict(Counter)
-        for v in values:
-            for i, c in enumerate(v):
-                self.count[v[max(0, i - 2) : i]][c] += 1
+    def __init__(self, counts: np.ndarray, weight: float = 5.0):
+        n = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(np.float64)
+        single = n.sum((0, 1)) + 1
+        single /= single.sum()
+        chain = lambda x: np.log((x + weight * single) / (x.sum(-1, keepdims=True) + weight))
+        self.first, self.chain = chain(n.sum(0))[0].astype(np.float32), chain(n).astype(np.float32)
 
     def log_likelihood(self, value: str) -> float:
-        total = 0.0
-        for i, c in enumerate(value):
-            seen = self.count.get(value[max(0, i - 2) : i])
-            total += math.log(((seen[c] if seen else 0) + 0.05) / ((sum(seen.values()) if seen else 0) + 0.05 * 70))
-        return total
+        x = _LETTER[np.frombuffer(value.encode("utf-8", "surrogatepass"), np.uint8)]
+        if not len(x):
+            return 0.0
+        before = np.concatenate(([0], x[:-2])) if len(x) > 1 else x[:0]
+        return float(self.first[x[0]]) + float(self.chain[before, x[:-1], x[1:]].sum(dtype=np.float64))
 
 
 class Formats:
     """All inferred formats against ordinary words."""
 
-    def __init__(self, credentials: dict[str, list[str]], words: list[str]):
+    def __init__(self, credentials: dict[str, list[str]], counts: np.ndarray):
         self.automata = {k: Automaton(sorted(v)) for k, v in sorted(credentials.items()) if v}
-        self.words = Words(sorted(words))
-        own = sorted(a.log_likelihood(v) / len(v) for k, a in self.automata.items() for v in credentials[k])
-        #: A candidate must look at least as likely as all but a twentieth of the labelled credentials.
-        self.floor = own[len(own) // 20] if own else 0.0
+        self.words = Words(counts)
+        #: A candidate must look at least as likely as all but a hundredth of the labelled credentials of that format.
+        self.floor = {}
+        for k, a in self.automata.items():
+            own = sorted(a.log_likelihood(v) / len(v) for v in credentials[k])
+            self.floor[k] = own[len(own) // 100]
+        self.least = max(LEAST, min((len(v) for values in credentials.values() for v in values), default=LEAST))
+        # Characters of classes that no format has cost so much that only a share of them leaves a value above the floor.
+        seen = {c for a in self.automata.values() for o in a.out for c in o if c is not None and c >= 0}
+        self.known = {ord(ch): None for ch, c in _OF.items() if c in seen}
+        likely = max((p - _SIZE[c] for a in self.automata.values() for o in a.out for c, p in o.items() if c is not None and c >= 0), default=0.0)
+        rare = max((o[None] for a in self.automata.values() for o in a.out), default=0.0) - min(_SIZE)
+        self.strange = (likely - min(self.floor.values(), default=likely)) / (likely - rare) if likely > rare else 1.0
 
     def odds(self, value: str) -> float:
-        """Log-odds of the best format, or minus infinity if it is too unlikely."""
-        best = max((a.log_likelihood(value) for a in self.automata.values()), default=-math.inf)
-        return best - self.words.log_likelihood(value) if best >= self.floor * len(value) else -math.inf
+        """Log-odds of the best format that the value is likely enough for, else minus infinity."""
+        own = ((k, a.log_likelihood(value)) for k, a in self.automata.items())
+        return max((x for k, x in own if x >= self.floor[k] * len(value)), default=-math.inf) - self.words.log_likelihood(value)
 
     def finds(self, value: str) -> bool:
-        need = max(IN_ALL, PER_CHAR * len(value))
-        return bool(self.automata) and self.odds(value) >= need
+        if not self.automata or len(value.translate(self.known)) > self.strange * len(value):
+            return False
+        return self.odds(value) >= max(IN_ALL, PER_CHAR * len(value))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Formats:
-    """Gather labelled values by kind and ordinary words (at most ``sample`` each, smallest hash first) and infer the formats."""
-    require(docs, "text")
+def _least(rows: dict[str, dict[str, int]], sample: int) -> list[tuple[str, str, int]]:
+    """The ``sample`` values of each kind with the smallest hash."""
+    return [(k, v, h) for k, own in sorted(rows.items()) for v, h in sorted(own.items(), key=lambda x: (x[1], x[0]))[:sample]]
+
+
+def _sampled(found: DataFrame, sample: int) -> DataFrame:
+    """Of rows (kind, value, h), the ``sample`` distinct values with the smallest h of each kind: tasks merge those of FAN_IN others, step by step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, dict[str, int]] = defaultdict(dict)
+        for b in batches:
+            for kind, value, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                best[kind][value] = h
+            best = defaultdict(dict, {k: dict(x[1:] for x in _least({k: own}, sample)) for k, own in best.items()})
+        rows = _least(best, sample)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, d) for c, d in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["kind", "value", "h"])
+
+    tasks = found.rdd.getNumPartitions()
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        found = found.repartition(tasks).mapInArrow(run, "kind string, value string, h bigint")
+    return found
 
-        def offer(kind: str, value: str) -> None:
-            own = best[kind]
-            own[value] = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"), 11) >> 1
-            if len(own) > 4 * sample:
-                for v in sorted(own, key=lambda v: (own[v], v))[sample:]:
-                    del own[v]
 
+def learn(docs: DataFrame, sample: int = SAMPLE) -> Formats:
+    """Gather labelled values by kind (at most ``sample`` each, smallest hash first) and the counts of ordinary text, and infer the formats."""
+    require(docs, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, dict[str, int]] = defaultdict(dict)
+        counts = np.zeros((LONG, SYMBOLS**3), np.int64)  # by length of a run, 0 for all that is no candidate
+        held: dict[int, list[str]] = defaultdict(list)
+        size = 0
         for b in batches:
             for t in b.column(0):
                 text = t.as_py() or ""
                 spans = base_spans(text)
                 for _, _, kind, value in spans:
-                    if len(value) <= 512:
-                        offer(kind, value)
-                for s, e in candidates(text, spans):
-                    if e - s <= 512:
-                        offer("word", text[s:e])
-                words = text.split(None, 60)[:60]
-                if words:
-                    offer("word", max(words, key=len)[:512])
-        rows = [(k, v, h) for k, own in best.items() for v, h in sorted(own.items(), key=lambda x: (x[1], x[0]))[:sample]]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, d) for c, d in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["kind", "value", "h"])
-
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, value string, h bigint").distinct()
-    from pyspark.sql import Window
-
-    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))).filter(F.col("n") <= sample)
-    by: dict[str, list[str]] = defaultdict(list)
-    for kind, value in ranked.select("kind", "value").collect():  # at most four times ``sample``
-        by[kind].append(value)
-    words = by.pop("word", [])
-    return Formats(dict(by), words)
+                    own = best[kind]
+                    own[value] = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"), 11) >> 1
+                    if len(own) > 4 * sample:
+                        best[kind] = {v: h for _, v, h in _least({kind: own}, sample)}
+                at, runs = 0, candidates(text, spans)
+                for s, e in runs:
+                    if e - s < LONG:
+                        held[e - s].append(text[s:e])
+                for s, e in sorted([(s, e) for s, e, *_ in spans] + runs) if spans else runs:
+                    held[0].append(text[at : max(at, s)])
+                    at = max(at, e)
+                held[0].append(text[at:])
+                size += len(text)
+                if size > 1 << 21:
+                    for k, part in held.items():
+                        counts[k] += triples(part)
+                    held.clear()
+                    size = 0
+        for k, part in held.items():
+            counts[k] += triples(part)
+        counts = counts.ravel()
+        got = np.flatnonzero(counts)
+        rows = _least(best, sample)
+        kinds, values, hashes = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([*kinds, *[None] * len(got)], pa.string()),
+                pa.array([*values, *[None] * len(got)], pa.string()),
+                pa.array(np.concatenate((np.array(hashes, np.int64), got))),
+                pa.array(np.concatenate((np.zeros(len(rows), np.int64), counts[got]))),
+            ],
+            ["kind", "value", "h", "n"],
+        )
+
+    found = durable(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, value string, h bigint, n bigint"))
+    by: dict[str, dict[str, int]] = defaultdict(dict)
+    # At most ``sample`` values for each kind.
+    for kind, value, h in _sampled(found.filter("kind is not null").select("kind", "value", "h"), sample).collect():
+        by[kind][value] = h
+    values: dict[str, list[str]] = defaultdict(list)
+    room = dict.fromkeys(by, SAMPLE_CHARS)
+    for kind, value, _ in _least(by, sample):
+        if len(value) <= room[kind]:
+            room[kind] -= len(value)
+            values[kind].append(value)
+    shortest = max(LEAST, min((len(v) for own in values.values() for v in own), default=LONG))
+    ordinary = found.filter(f"kind is null and h < {shortest * SYMBOLS**3}").groupBy((F.col("h") % SYMBOLS**3).alias("h")).agg(F.sum("n").alias("n"))
+    counts = np.zeros(SYMBOLS**3, np.int64)
+    got = ordinary.toPandas()  # at most SYMBOLS ** 3 rows
+    counts[got["h"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return Formats(dict(values), counts)
 
 
 def scan(text: str | None, formats: Formats) -> tuple[list[Span], list[Span]]:
@@ -255,7 +375,7 @@ def scan(text: str | None, formats: Formats) -> tuple[list[Span], list[Span]]:
     text = text or ""
     base = base_spans(text)
     own = [(s, e, kind) for s, e, kind, _ in base]
-    extra = [(s, e, "format") for s, e in candidates(text, base) if formats.finds(text[s:e])]
+    extra = [(s, e, "format") for s, e in candidates(text, base, formats.least) if formats.finds(text[s:e])] if formats.automata else []
     by = lambda x: (x[0], KINDS.index(x[2]))
     return sorted(own, key=by), sorted(own + extra, key=by)
 
