@@ -3,13 +3,16 @@
 Every benchmark item yields its windows of ``n`` consecutive words (an item of fewer
 words, but at least one, is a single window).  Documents are tokenised once; their
 windows are streamed through a hash join with the n-gram table, and each hash hit is
-verified on the words themselves.  All of it is built-in expressions.
+verified on the words themselves.  All of it is built-in expressions.  A table of n-grams
+too large to broadcast sends its hashes alone ahead, and only windows whose hash it has are
+shuffled for verification; if even the hashes are too many, all windows are, each with its
+own words only.
 
 Defined results: a null or wordless text has no words and no hits; null items and
 wordless items have no windows; an item without id marks words but is not listed;
 repeated items count once; repeated document rows each give a row; empty tables give
-empty or hit-free results; further columns are ignored by ``find_leaks`` and kept by
-``drop_leaks`` and ``cut_leaks``.
+empty or hit-free results; further columns, whatever their names, are ignored by
+``find_leaks`` and kept by ``drop_leaks`` and ``cut_leaks``.
 """
 
 from __future__ import annotations
@@ -17,11 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import durable, fold_case, require, small
+from chronoloom.llm.common import BROADCAST_BYTES, durable, fold_case, fresh, require, small
 
 N = 10
+#: Bytes that a broadcast hash takes.
+HASH_BYTES = 16
 #: All ASCII but digits and letters.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: One such character of a text whose case is not folded.
+UNFOLDED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def words(text: Column) -> Column:
@@ -42,7 +49,7 @@ def _hits(docs: DataFrame, bench: DataFrame, n: int, keys: list[str]) -> DataFra
     grams = durable(benchmark_grams(bench, n))
     count, longest = grams.agg(F.count("*"), F.max(F.expr("aggregate(gram, 0L, (a, x) -> a + octet_length(x))"))).first()
     lengths = [r[0] for r in grams.select("len").distinct().collect()] or [n]  # at most n values
-    grams = small(grams, count, (longest or 0) + 16 * n + 64)
+    whole = count * ((longest or 0) + 16 * n + 64) <= BROADCAST_BYTES
     w = docs.select(*keys, words(F.col("text")).alias("_w")).withColumn("n_words", F.size("_w"))
     w = w.withColumn("pos", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_words") - min(lengths) + 1, F.lit(0)))))
     if len(lengths) == 1:
@@ -52,8 +59,16 @@ def _hits(docs: DataFrame, bench: DataFrame, n: int, keys: list[str]) -> DataFra
         w = w.filter((F.col("pos") == 0) | (F.col("pos") + F.col("_l") - 1 <= F.col("n_words")))
     window = F.slice("_w", F.col("pos"), F.col("_l"))
     w = w.withColumn("_h", F.when(F.col("pos") > 0, F.xxhash64(window)))
-    on = (F.col("_h") == grams["gh"]) & (F.when(F.col("pos") > 0, window) == grams["gram"])
-    return w.join(grams, on, "left").filter((F.col("pos") == 0) | F.col("gh").isNotNull()).select(*keys, "n_words", "pos", F.col("len"), "item_id")
+    if whole:
+        on = (F.col("_h") == grams["gh"]) & (F.when(F.col("pos") > 0, window) == grams["gram"])
+        return w.join(F.broadcast(grams), on, "left").filter((F.col("pos") == 0) | F.col("gh").isNotNull()).select(*keys, "n_words", "pos", F.col("len"), "item_id")
+    rows = w.filter("pos = 0").select(*keys, "n_words", "pos", F.lit(None).cast("int").alias("len"), F.lit(None).cast(grams.schema["item_id"].dataType).alias("item_id"))
+    w = w.filter("pos > 0")
+    if count * HASH_BYTES <= BROADCAST_BYTES:
+        w = w.join(F.broadcast(grams.select(F.col("gh").alias("_h")).distinct()), "_h", "left_semi")
+    w = w.select(*keys, "n_words", "pos", "_h", window.alias("_gram"))
+    hits = w.join(grams, (F.col("_h") == grams["gh"]) & (F.col("_gram") == grams["gram"]))
+    return rows.union(hits.select(*keys, "n_words", "pos", "len", "item_id"))
 
 
 def _covered(spans: Column) -> Column:
@@ -83,10 +98,45 @@ def find_leaks(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
 def drop_leaks(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
     require(docs, "doc_id", "text")
-    keyed = docs.withColumns({"_leak_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), "_leak_th": F.xxhash64("text")})
-    hits = _hits(keyed.select("_leak_id", "_leak_th", "text"), bench, n, ["_leak_id", "_leak_th"])
-    bad = durable(hits.filter("pos > 0").select("_leak_id", "_leak_th").distinct())
-    return keyed.join(small(bad, bad.count(), 64), ["_leak_id", "_leak_th"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    leak_id, leak_th = fresh(docs, "_leak_id"), fresh(docs, "_leak_th")
+    keyed = docs.withColumns({leak_id: F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), leak_th: F.xxhash64("text")})
+    hits = _hits(keyed.select(F.col(leak_id).alias("_id"), F.col(leak_th).alias("_th"), "text"), bench, n, ["_id", "_th"])
+    bad = durable(hits.filter("pos > 0").select(F.col("_id").alias(leak_id), F.col("_th").alias(leak_th)).distinct())
+    return keyed.join(small(bad, bad.count(), 64), [leak_id, leak_th], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def cut_leaks(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
+    """All documents and columns; words of benchmark windows, with what stands between them, are cut out of ``text``.
+
+    Texts without a hit stay as they are, also if null.
+    """
+    require(docs, "doc_id", "text")
+    leak_th, spans, joined = (fresh(docs, c) for c in ("_leak_th", "_leak_spans", "_leak_joined"))
+    keyed = docs.withColumn(leak_th, F.xxhash64("text"))
+    # Equal texts have equal hits.
+    hits = _hits(keyed.select(F.col(leak_th).alias("_th"), "text"), bench, n, ["_th"]).filter("pos > 0")
+    bad = durable(hits.groupBy(F.col("_th").alias(leak_th)).agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias(spans)))
+    rows = keyed.join(small(bad, bad.count(), 1 << 10), leak_th, "left")
+    text = F.col("text")
+    # Each word and the break before it, if any, and the break at the end.
+    pair = F.lit(f"(?<!{UNFOLDED})({UNFOLDED}*+)([^{UNFOLDED[1:]}+)")
+    breaks, own = F.regexp_extract_all(text, pair, F.lit(1)), F.regexp_extract_all(text, pair, F.lit(2))
+    size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
+    tail = F.right(text, F.length(text) - size(breaks) - size(own))
+    last = lambda a: F.element_at(a, -1)
+    span = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end")))
+    merged = F.aggregate(
+        F.col(spans),
+        F.array().cast("array<struct<start:int,end:int>>"),
+        lambda a, s: F.when((F.size(a) > 0) & (s["pos"] <= last(a)["end"]), F.concat(F.slice(a, 1, F.size(a) - 1), span(last(a)["start"], F.greatest(last(a)["end"], s["pos"] + s["len"])))).otherwise(F.concat(a, span(s["pos"], s["pos"] + s["len"]))),
+    )
+    # A word inside a span goes; the break before it stays where the span begins.
+    inside = lambda k, first: F.exists(F.col(joined), lambda s: (k >= s["start"] + first) & (k < s["end"]))
+    kept = F.transform(own, lambda x, i: F.concat(F.when(inside(i + 1, 1), "").otherwise(F.element_at(breaks, i + 1)), F.when(inside(i + 1, 0), "").otherwise(x)))
+    left = F.concat(F.array_join(kept, ""), tail)
+    rows = rows.withColumn(joined, merged)
+    out = [(F.when(F.col(spans).isNull(), text).otherwise(left).alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns]
+    return rows.select(*out)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

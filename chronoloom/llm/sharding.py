@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import durable, require
+from chronoloom.llm.common import durable, fresh, require
 
 LIMIT, STEP = 16 << 20, 8
 #: Bits of the id and text, then of the position.
@@ -78,17 +78,22 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return tried.join(leaves, ["depth", "shard"]).select("doc_id", "size", "shard", "depth", "shard_bytes", "shard_rows", "oversized")
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write the rows with their columns, a folder for each shard; copies of a row stay in one shard's folder as far as CONTENT bits part them."""
-    rows = docs.withColumn("_place", F.lit(0))
-    rows = rows.withColumn("_bits", hash_bits()).drop("_place")
-    keys = rows.select(F.col("_bits").alias("bits"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    leaves = durable(directory(keys, limit, CONTENT)).select("depth", F.col("shard").alias("_shard"))
-    depths = [r[0] for r in leaves.select("depth").distinct().collect()]
-    tried = rows.withColumn("_depth", F.explode(F.array(*map(F.lit, sorted(depths))))) if depths else rows.withColumn("_depth", F.lit(0))
-    dealt = tried.withColumn("_shard", F.expr("substring(_bits, 1, _depth)")).join(leaves.select(F.col("depth").alias("_depth"), "_shard"), ["_depth", "_shard"])
-    dealt = dealt.withColumn("shard", F.concat(F.lit("s"), "_shard")).drop("_depth", "_shard", "_bits")
-    dealt.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> str:
+    """Write the rows with all their columns, a folder for each shard; returns the name of the folders' column: "shard", longer if ``docs`` has that.
+
+    No shard exceeds the limit but one of a single row; copies of a row are dealt by position.
+    """
+    require(docs, "doc_id", "text")
+    shard = fresh(docs, "shard")
+    place = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("_place"))
+    # Positions must be the same when shards are sized and when they are written.
+    rows = durable(place.select("row", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), hash_bits().alias("bits")))
+    leaves = durable(directory(rows.select("bits", "size"), limit)).select("depth", "shard")
+    depths = [r[0] for r in leaves.select("depth").distinct().collect()] or [0]  # at most BITS + 1
+    tried = rows.withColumn("depth", F.explode(F.array(*map(F.lit, sorted(depths))))).withColumn("shard", F.expr("substring(bits, 1, depth)"))
+    dealt = tried.join(leaves, ["depth", "shard"]).select(*[F.col("row")[c].alias(c) for c in docs.columns], F.concat(F.lit("s"), "shard").alias(shard))
+    dealt.repartition(shard).write.mode("overwrite").partitionBy(shard).parquet(path)
+    return shard
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

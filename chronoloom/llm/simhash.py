@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import FOLD, durable, require, small
+from chronoloom.llm.common import FOLD, durable, fresh, require, small
 
 SHINGLE, BUDGET, SEED = 3, 3, 42
 #: Shingles hashed at once; bounds memory on very long texts.
@@ -231,16 +231,17 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     n = first.count()
     copies = durable(groups.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("id"), "th").count().filter("count > 1").select("id", "th"))
     again = copies.count()
-    keyed = docs.withColumns({"_near_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), "_near_th": F.xxhash64("text")})
+    near_id, near_th = fresh(docs, "_near_id"), fresh(docs, "_near_th")
+    keyed = docs.withColumns({near_id: F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), near_th: F.xxhash64("text")})
 
     def among(keys: DataFrame, how: str, rows: DataFrame, size: int) -> DataFrame:
-        keys = small(keys.select(F.col("id").alias("_near_id"), F.col("th").alias("_near_th")), size, 64)
-        return rows.join(keys, ["_near_id", "_near_th"], how)
+        keys = small(keys.select(F.col("id").alias(near_id), F.col("th").alias(near_th)), size, 64)
+        return rows.join(keys, [near_id, near_th], how)
 
     kept = among(first, "left_semi", keyed, n)
     if again:  # rows repeated whole: one of each
         single = among(copies, "left_anti", kept, again)
-        kept = single.union(among(copies, "left_semi", kept, again).dropDuplicates(["_near_id", "_near_th"]))
+        kept = single.union(among(copies, "left_semi", kept, again).dropDuplicates([near_id, near_th]))
     return kept.select(*names)
 
 
