@@ -309,9 +309,16 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Formats:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, dict[str, int]] = defaultdict(dict)
-        counts = np.zeros((LONG, SYMBOLS**3), np.int64)  # by length of a run, 0 for all that is no candidate
+        counts: dict[int, np.ndarray] = {}  # by length of a run, 0 for all that is no candidate
         held: dict[int, list[str]] = defaultdict(list)
         size = 0
+
+        def counted() -> None:
+            for k, part in held.items():
+                n = triples(part)
+                counts[k] = counts[k] + n if k in counts else n
+            held.clear()
+
         for b in batches:
             for t in b.column(0):
                 text = t.as_py() or ""
@@ -331,22 +338,20 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Formats:
                 held[0].append(text[at:])
                 size += len(text)
                 if size > 1 << 21:
-                    for k, part in held.items():
-                        counts[k] += triples(part)
-                    held.clear()
+                    counted()
                     size = 0
-        for k, part in held.items():
-            counts[k] += triples(part)
-        counts = counts.ravel()
-        got = np.flatnonzero(counts)
+        counted()
+        got = {k: np.flatnonzero(n) for k, n in counts.items()}
+        triple = np.concatenate([np.zeros(0, np.int64), *(k * SYMBOLS**3 + at for k, at in got.items())]).astype(np.int64)
+        often = np.concatenate([np.zeros(0, np.int64), *(counts[k][at] for k, at in got.items())]).astype(np.int64)
         rows = _least(best, sample)
         kinds, values, hashes = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([*kinds, *[None] * len(got)], pa.string()),
-                pa.array([*values, *[None] * len(got)], pa.string()),
-                pa.array(np.concatenate((np.array(hashes, np.int64), got))),
-                pa.array(np.concatenate((np.zeros(len(rows), np.int64), counts[got]))),
+                pa.array([*kinds, *[None] * len(triple)], pa.string()),
+                pa.array([*values, *[None] * len(triple)], pa.string()),
+                pa.array(np.concatenate((np.array(hashes, np.int64), triple))),
+                pa.array(np.concatenate((np.zeros(len(rows), np.int64), often))),
             ],
             ["kind", "value", "h", "n"],
         )
