@@ -33,8 +33,8 @@ from chronoloom.llm.common import require
 
 #: The byte-level pre-tokenizer's pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words, pieces and pairs that a worker remembers; words matter most, and a pair is soon tested again.
-WORDS, PIECES_KEPT, PAIRS_KEPT = 120_000, 60_000, 60_000
+#: Words, pieces and pairs that a worker remembers, and fewer for one that also holds whole rows: half the memory for half as much time again.
+MEMORY, SLIM = (360_000, 200_000, 150_000), (120_000, 60_000, 60_000)
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,7 +61,7 @@ class Memory(dict):
 
 
 class Codec:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: tuple[int, int, int] = MEMORY):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -90,10 +90,11 @@ class Codec:
             if self.halves[i] or len(self.bytes[i]) == 1:
                 self.automaton.add_word(self.bytes[i].decode("latin-1"), (i, len(self.bytes[i])))
         self.automaton.make_automaton()
+        words, pieces, self.most_pairs = memory
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces = Memory(lambda piece: self.encode_piece(piece.encode("utf-8", "surrogatepass").decode("latin-1")), PIECES_KEPT)
+        self.pieces = Memory(lambda piece: self.encode_piece(piece.encode("utf-8", "surrogatepass").decode("latin-1")), pieces)
         #: A piece ends before every single space that a visible character follows, so what follows it can be remembered whole.
-        self.spaced = Memory(lambda word: self.encode_part(" " + word), WORDS)
+        self.spaced = Memory(lambda word: self.encode_part(" " + word), words)
         self.find = regex.compile(PIECES).findall
         self.plain = lambda text, search=re.compile(r" (?:\s|\Z)").search: search(text) is None
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
@@ -102,7 +103,7 @@ class Codec:
         """Whether BPE leaves the border of the pair's bytes unmerged when both sides reach these tokens."""
         got = self.pairs.get(pair)
         if got is None:
-            if len(self.pairs) >= PAIRS_KEPT:
+            if len(self.pairs) >= self.most_pairs:
                 self.pairs.clear()
             got = self.pairs[pair] = self._fits(*pair)
         return got
@@ -169,8 +170,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    made = Codec(path)
+def codec(path: str, memory: tuple[int, int, int] = MEMORY) -> Codec:
+    made = Codec(path, memory)
     gc.freeze()  # the tables hold no cycles; scanning them again and again costs a third of the time
     return made
 
@@ -192,7 +193,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     at = rest.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, SLIM)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
