@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,13 +74,41 @@ def spearman(df: DataFrame, by: Cols, a: str, b: str) -> DataFrame:
     return ranked.groupBy(*by).agg(F.corr("_ra", "_rb").alias("rho"))
 
 
-def kendall(df: DataFrame, by: Cols, key: str, a: str, b: str) -> DataFrame:
-    """tau-b of each (small) group by a self-join on the group."""
-    x = df.select(*by, F.col(key).alias("_k"), F.col(a).alias("_a"), F.col(b).alias("_b")).na.drop()
-    y = x.select(*by, *[F.col(c).alias(f"{c}2") for c in ("_k", "_a", "_b")])
-    s, t = F.signum(F.expr("_a2 - _a")), F.signum(F.expr("_b2 - _b"))
-    got = x.join(y, list(by)).filter("_k < _k2").groupBy(*by).agg(F.sum(s * t).alias("c"), F.sum(s * s).alias("na"), F.sum(t * t).alias("nb"))
-    return got.select(*by, F.try_divide(F.col("c"), F.sqrt(F.col("na") * F.col("nb"))).alias("tau"))
+def inversions(v: np.ndarray) -> int:
+    """Pairs of positions whose later value is strictly smaller, counted while sorted blocks are merged."""
+    v, total, size = v.copy(), 0, 32
+    for i in range(0, len(v), size):
+        b = v[i : i + size]
+        total += int(np.triu(b[:, None] > b[None, :], 1).sum())
+        v[i : i + size] = np.sort(b)
+    while size < len(v):
+        for i in range(0, len(v), 2 * size):
+            left, right = v[i : i + size], v[i + size : i + 2 * size]
+            total += int((len(left) - np.searchsorted(left, right, "right")).sum())
+            v[i : i + 2 * size] = np.sort(v[i : i + 2 * size], kind="stable")
+        size *= 2
+    return total
+
+
+def kendall(df: DataFrame, by: Cols, a: str, b: str) -> DataFrame:
+    """(by, tau): tau-b of each series over all its pairs of rows, by merge counting; NULLs are left out, a constant column gives NULL."""
+
+    def ties(*columns: np.ndarray) -> int:
+        n = np.unique(np.column_stack(columns), axis=0, return_counts=True)[1].astype(object)
+        return int((n * (n - 1) // 2).sum())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["_a"].to_numpy(), pdf["_b"].to_numpy()
+        y = y[np.lexsort((y, x))]
+        x = np.sort(x)
+        pairs, tx, ty = len(x) * (len(x) - 1) // 2, ties(x), ties(y)
+        apart = math.sqrt(pairs - tx) * math.sqrt(pairs - ty)
+        agree = pairs - tx - ty + ties(x, y) - 2 * inversions(y)
+        return pdf[list(by)].head(1).assign(tau=agree / apart if apart else None)
+
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    rows = df.select(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).na.drop(subset=["_a", "_b"])
+    return rows.groupBy(*by).applyInPandas(run, f"{kinds}tau double")
 
 
 def f_regression(df: DataFrame, features: Cols, target: str, top: int = 50) -> DataFrame:

@@ -199,11 +199,15 @@ def density(df: DataFrame, by: Cols, key: str, column: str, kind: str = "lof", k
 
 
 def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    k = min(k, len(x) - 1)
-    d = np.abs(x[:, None] - x[None, :])
-    np.fill_diagonal(d, np.inf)
-    at = np.argsort(d, axis=1, kind="stable")[:, :k]
-    return at, np.take_along_axis(d, at, 1)
+    """Positions and distances of the k nearest others of each value, which are among the k before and after it in sorted order."""
+    n, k = len(x), min(k, len(x) - 1)
+    order = np.argsort(x, kind="stable")
+    to = np.arange(n)[:, None] + np.r_[-k:0, 1 : k + 1]
+    at = order[to.clip(0, n - 1)]
+    d = np.where((to >= 0) & (to < n), np.abs(x[at] - x[order][:, None]), np.inf)
+    best = np.lexsort((at, d), axis=1)[:, :k]
+    back = np.argsort(order)
+    return np.take_along_axis(at, best, 1)[back], np.take_along_axis(d, best, 1)[back]
 
 
 def _lof(x: np.ndarray, k: int) -> np.ndarray:

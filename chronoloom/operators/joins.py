@@ -60,19 +60,33 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, colum
 def kernel_sums(source: DataFrame, target: DataFrame, key: str, vector: str, kernels: int = 5, factor: float = 2.0, parts: int = 64) -> DataFrame:
     """Mean Gaussian kernels within the source, within the target and between them, and their maximum mean discrepancy.
 
-    Rows are paired by position (row i with row i + 1) in ``parts`` slices of the key, the linear-time estimator: nothing is squared, and no task orders all rows.
+    The linear-time estimator: row i goes with row i + 1, the last one with the first; between sides of different length the shorter one starts
+    again from its first row, so every row of both counts. The bandwidth is the mean squared distance of all pairs of rows, in closed form.
+    Rows are numbered by slice (the integer key modulo ``parts``), then key: no task orders all of them. Rows without key or vector take no part.
     """
-    def placed(df: DataFrame, name: str) -> DataFrame:
-        part = F.pmod(F.col(key), F.lit(parts))
-        n = F.row_number().over(Window.partitionBy(part).orderBy(key))
-        return df.select(part.alias("_part"), n.alias("_k"), F.col(vector).alias(name))
+    source, target = (df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()) for df in (source, target))
+    sizes = source.count(), target.count()
 
-    a, b = placed(source, "x"), placed(target, "y")
-    both = a.join(b, ["_part", "_k"]).withColumn("_pair", F.floor((F.col("_k") - 1) / 2))
-    pair = both.groupBy("_part", "_pair").agg(F.min_by("x", "_k").alias("x1"), F.max_by("x", "_k").alias("x2"), F.min_by("y", "_k").alias("y1"), F.max_by("y", "_k").alias("y2"), F.count(F.lit(1)).alias("n")).filter("n = 2")
+    def pairs(df: DataFrame, size: int, a: str, b: str) -> DataFrame:
+        part = F.pmod(F.col(key), F.lit(parts))
+        rows = df.select(part.alias("_s"), F.row_number().over(Window.partitionBy(part).orderBy(key)).alias("_k"), F.col(vector).alias(a))
+        first = df.groupBy(part.alias("_s")).agg(F.count(F.lit(1)).alias("_n"))  # at most ``parts`` rows
+        first = first.select("_s", (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_first"))
+        rows = rows.join(F.broadcast(first), "_s").select((F.col("_first") + F.col("_k") - 1).alias("_i"), a)
+        return rows.join(rows.select(F.pmod(F.col("_i") - 1, F.lit(max(size, 1))).alias("_i"), F.col(a).alias(b)), "_i")
+
+    x, y = pairs(source, sizes[0], "x1", "x2"), pairs(target, sizes[1], "y1", "y2")
+    long, short = (x, y) if sizes[0] >= sizes[1] else (y, x)
+    both = long.withColumn("_i", F.col("_i") % max(min(sizes), 1)).join(short, "_i")
     apart = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
-    d = pair.select(apart("x1", "x2").alias("xx"), apart("y1", "y2").alias("yy"), apart("x1", "y2").alias("xy"), apart("x2", "y1").alias("yx"))
-    width = F.avg(F.expr("(xx + yy + xy + yx) / 4"))
-    d = d.crossJoin(F.broadcast(d.agg(width.alias("w"))))  # one row
-    k = lambda c: sum((F.exp(-F.col(c) / (F.col("w") * factor ** (i - kernels // 2))) for i in range(kernels)), F.lit(0.0))
-    return d.agg(F.count(F.lit(1)).alias("pairs"), F.avg(k("xx")).alias("k_source"), F.avg(k("yy")).alias("k_target"), F.avg((k("xy") + k("yx")) / 2).alias("k_between"), F.avg(k("xx") + k("yy") - k("xy") - k("yx")).alias("mmd"))
+    of = lambda kind, *d: [F.lit(kind).alias("kind"), F.explode(F.array(*d)).alias("d")]
+    d = x.select(*of("x", apart("x1", "x2"))).union(y.select(*of("y", apart("y1", "y2")))).union(both.select(*of("xy", apart("x1", "y2"), apart("x2", "y1"))))
+    n = sum(sizes)
+    every = source.select(vector).union(target.select(vector)).select(F.posexplode(vector).alias("_at", "_v"))
+    sums = every.groupBy("_at").agg(F.sum("_v").alias("s"), F.sum(F.col("_v") * F.col("_v")).alias("q"))  # one row a dimension
+    width = sums.agg((2 * (n * F.sum("q") - F.sum(F.col("s") * F.col("s"))) / max(n * (n - 1), 1)).alias("w"))
+    d = d.crossJoin(F.broadcast(width))  # one row
+    k = sum((F.exp(-F.try_divide(F.col("d"), F.col("w") * factor ** (i - kernels // 2))) for i in range(kernels)), F.lit(0.0))
+    mean = lambda kind: F.avg(F.when(F.col("kind") == kind, k))
+    got = d.agg(mean("x").alias("k_source"), mean("y").alias("k_target"), mean("xy").alias("k_between"))
+    return got.select(F.lit(max(sizes)).alias("pairs"), "*", F.expr("k_source + k_target - 2 * k_between").alias("mmd"))

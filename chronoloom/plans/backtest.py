@@ -39,10 +39,15 @@ def fold_bounds(df: DataFrame, by: Cols, folds: int) -> DataFrame:
     return w.select(*by, "window", F.lit(0).alias("train_start"), start.alias("train_end"), start.alias("test_start"), (start + F.col("_k") - 1).alias("test_end"))
 
 
+#: Rows meet the windows that touch their block of this many positions.
+BLOCK = 256
+
+
 def in_windows(df: DataFrame, bounds: DataFrame, by: Cols) -> DataFrame:
-    """Rows of each window with ``part``; bounds are a few rows a series and joined on the series."""
-    pos = df.withColumn("_i", F.row_number().over(over(by, ["time"])) - 1)
-    got = pos.join(bounds, list(by)) if by else pos.crossJoin(F.broadcast(bounds))
+    """Rows of each window with ``part``. Rows and windows are joined by series and block of positions, so a row only meets windows near it."""
+    pos = df.withColumn("_i", F.row_number().over(over(by, ["time"])) - 1).withColumn("_block", F.floor(F.col("_i") / BLOCK))
+    first, last = F.least("train_start", "test_start"), F.greatest(F.col("train_end") - 1, F.col("test_end"))
+    got = pos.join(bounds.withColumn("_block", F.explode(F.sequence(F.floor(first / BLOCK), F.floor(last / BLOCK)))), [*by, "_block"]).drop("_block")
     got = got.filter(((F.col("_i") >= F.col("train_start")) & (F.col("_i") < F.col("train_end"))) | F.col("_i").between(F.col("test_start"), F.col("test_end")))
     return got.withColumn("part", F.when(F.col("_i") >= F.col("test_start"), "test").otherwise("train")).drop("train_start", "train_end", "test_start", "test_end")
 

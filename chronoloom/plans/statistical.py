@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Cols = Sequence[str]
@@ -247,42 +247,58 @@ def linear_var(df: DataFrame, by: Cols, columns: Cols, feature_lags: Sequence[in
     return model, got.select(*by, *[F.col(f"{o}_hat").alias(o) for o in outs])
 
 
-def bayes_var_kernel(y: np.ndarray, p: int, horizon: int, draws: int, seed: int) -> np.ndarray:
-    """Forecast paths (draws x horizon x series) of a vector autoregression under a normal-inverse-Wishart prior."""
-    n, r = y.shape
-    x = np.column_stack([np.ones(n - p), *[y[p - i : n - i] for i in range(1, p + 1)]])
-    t = y[p:]
-    prec = x.T @ x + 0.1 * np.eye(x.shape[1])
-    mean = np.linalg.solve(prec, x.T @ t)
-    s = (t - x @ mean).T @ (t - x @ mean) + np.eye(r) * 1e-6
-    rng, root = np.random.default_rng(seed), np.linalg.cholesky(np.linalg.inv(prec))
+def bayes_var_kernel(moments: np.ndarray, n: int, last: np.ndarray, r: int, horizon: int, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """Forecast paths (draws x horizon x series) of a vector autoregression under a normal-inverse-Wishart prior.
+
+    ``moments`` are the sums of products of (1, lags, targets) over ``n`` rows, ``last`` the newest p rows, newest first.
+    """
+    m = len(moments) - r
+    prec, xt = moments[:m, :m] + 0.1 * np.eye(m), moments[:m, m:]
+    mean = np.linalg.solve(prec, xt)
+    s = moments[m:, m:] - mean.T @ xt - xt.T @ mean + mean.T @ moments[:m, :m] @ mean
+    root, spread = np.linalg.cholesky(np.linalg.inv(prec)), np.linalg.cholesky(np.linalg.inv((s + s.T) / 2 + np.eye(r) * 1e-6))
     out = np.empty((draws, horizon, r))
     for k in range(draws):
-        g = rng.standard_normal((len(t) + r, r)) @ np.linalg.cholesky(np.linalg.inv(s)).T
-        sigma = np.linalg.inv(g.T @ g)
-        c = np.linalg.cholesky(sigma)
+        a = np.tril(rng.standard_normal((r, r)), -1) + np.diag(np.sqrt(rng.chisquare(n + r - np.arange(r))))  # Bartlett's factor of a Wishart draw
+        c = np.linalg.cholesky(np.linalg.inv(spread @ a @ a.T @ spread.T))
         w = mean + root @ rng.standard_normal(mean.shape) @ c.T
-        v = list(y[-p:])
+        v = list(last)
         for h in range(horizon):
-            v.append(np.concatenate(([1.0], *v[::-1][:p])) @ w + c @ rng.standard_normal(r))
-            out[k, h] = v[-1]
+            out[k, h] = np.concatenate(([1.0], *v)) @ w + c @ rng.standard_normal(r)
+            v = [out[k, h], *v[:-1]]
     return out
 
 
-def bayes_var(df: DataFrame, columns: Cols, p: int = 2, horizon: int = 5, chains: int = 4, draws: int = 100, sample: int = 5000) -> DataFrame:
-    """(column, step, mean, low, high): chains run side by side on the last ``sample`` rows of one multivariate series."""
-    spark = df.sparkSession
-    last = df.select("time", *columns).na.drop().orderBy(F.desc("time")).limit(sample).toPandas().sort_values("time")
-    y, names = last[list(columns)].to_numpy(float), list(columns)
+def bayes_var(df: DataFrame, by: Cols, columns: Cols, p: int = 2, horizon: int = 5, chains: int = 4, draws: int = 100) -> DataFrame:
+    """(by, column, step, mean, low, high) of each multivariate series from all its rows.
+
+    The rows only enter sums of products, aggregated by series; chains draw from those side by side. Rows with a NULL are left out first; a series of p rows or fewer gives nothing.
+    """
+    names, r, keys = list(columns), len(columns), list(by)
+    w = Window.partitionBy(*by).orderBy("time")
+    rows = df.select(*by, "time", *[F.col(c).cast("double").alias(c) for c in names]).na.drop(subset=names)
+    lags = [F.lag(c, i).over(w) for i in range(1, p + 1) for c in names]
+    rows = rows.select(*by, "time", F.array(F.lit(1.0), *lags, *names).alias("z")).filter(~F.exists("z", lambda v: v.isNull()))
+    size = 1 + r * (p + 1)
+    at = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max_by("z", "time").alias("z"), F.array(*[F.sum(F.col("z")[i] * F.col("z")[j]) for i, j in at]).alias("s"))
 
     def run(batches):
         for pdf in batches:
-            for seed in pdf["id"]:
-                paths = bayes_var_kernel(y, p, horizon, draws, int(seed))
-                yield pd.DataFrame([(c, h + 1, float(paths[k, h, j])) for j, c in enumerate(names) for h in range(horizon) for k in range(draws)], columns=["column", "step", "value"])
-
-    got = spark.range(chains).repartition(chains).mapInPandas(run, "column string, step int, value double")
-    return got.groupBy("column", "step").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.05)).alias("low"), F.percentile("value", F.lit(0.95)).alias("high"))
+            for row in pdf.itertuples(index=False):
+                *key, n, z, s, chain = row
+                m = np.zeros((size, size))
+                for (i, j), v in zip(at, s, strict=True):
+                    m[i, j] = m[j, i] = v
+                newest = np.concatenate((z[-r:], z[1 : 1 + r * (p - 1)])).reshape(p, r)
+                paths = bayes_var_kernel(m, int(n), newest, r, horizon, draws, np.random.default_rng(int(chain)))
+                out = [(*key, c, h + 1, float(paths[k, h, j])) for j, c in enumerate(names) for h in range(horizon) for k in range(draws)]
+                yield pd.DataFrame(out, columns=[*keys, "column", "step", "value"])
+
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    dealt = sums.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).repartition(*by, "chain")
+    got = dealt.mapInPandas(run, f"{kinds}column string, step int, value double")
+    return got.groupBy(*by, "column", "step").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.05)).alias("low"), F.percentile("value", F.lit(0.95)).alias("high"))
 
 
 def factor_impute(df: DataFrame, by: Cols, column: str, rank: int = 3, lag: int = 1, rounds: int = 50) -> DataFrame:

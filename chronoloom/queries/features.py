@@ -214,10 +214,9 @@ def spearman(spark, d):
     return agg.spearman(shipped(spark, d), BY, "qty", "rev")
 
 
-@query("kendall", "sid tau:d", f"WITH {SHIPPED}, x AS (SELECT * FROM s WHERE time < TIMESTAMP '1996-01-01')\n---\nSELECT p.sid, sum(sign(q.qty - p.qty) * sign(q.rev - p.rev)) / sqrt(sum(sign(q.qty - p.qty) ** 2) * sum(sign(q.rev - p.rev) ** 2)) AS tau FROM x p JOIN x q ON p.sid = q.sid AND p.time < q.time GROUP BY 1")
+@query("kendall", "sid tau:d", f"WITH {SHIPPED}\n---\nSELECT p.sid, sum(sign(q.qty - p.qty) * sign(q.rev - p.rev)) / sqrt(sum(sign(q.qty - p.qty) ** 2) * sum(sign(q.rev - p.rev) ** 2)) AS tau FROM s p JOIN s q ON p.sid = q.sid AND p.time < q.time GROUP BY 1")
 def kendall(spark, d):
-    early = shipped(spark, d).filter("time < timestamp_ntz'1996-01-01'")
-    return agg.kendall(early, BY, "time", "qty", "rev")
+    return agg.kendall(shipped(spark, d), BY, "qty", "rev")
 
 
 @query("average_rank", "sid time r:d", f"WITH {SHIPPED}\n---\nSELECT sid, time, {RANK.format(by='sid', c='qty')} AS r FROM s")
@@ -297,19 +296,22 @@ def row_stats(spark, d):
     return agg.row_stats(t, ["qty_lag_1", "qty_lag_2", "qty_lag_3"], "lag")
 
 
-KERNELS = {c: " + ".join(f"exp(-{c} / (w * pow(2.0::DOUBLE, {i - 2})))" for i in range(5)) for c in ("xx", "yy", "xy", "yx")}
+KERNEL = " + ".join(f"exp(-d / (w * pow(2.0::DOUBLE, {i - 2})))" for i in range(5))
 
 
 @query("mmd_linear", "pairs:l k_source:d k_target:d k_between:d mmd:d", f"""
-WITH n AS (SELECT embedding::DOUBLE[] AS v, label % 2 AS part, vec_id % 64 AS s, vec_id FROM embeddings),
-a AS (SELECT v, s, row_number() OVER (PARTITION BY s ORDER BY vec_id) AS k FROM n WHERE part = 0), b AS (SELECT v, s, row_number() OVER (PARTITION BY s ORDER BY vec_id) AS k FROM n WHERE part = 1),
-j AS (SELECT a.k, a.s, (a.k - 1) // 2 AS p, a.v AS x, b.v AS y FROM a JOIN b ON a.k = b.k AND a.s = b.s),
-q AS (SELECT p, s, arg_min(x, k) AS x1, arg_max(x, k) AS x2, arg_min(y, k) AS y1, arg_max(y, k) AS y2 FROM j GROUP BY p, s HAVING count(*) = 2),
-d AS (SELECT list_distance(x1, x2) ** 2 AS xx, list_distance(y1, y2) ** 2 AS yy, list_distance(x1, y2) ** 2 AS xy, list_distance(x2, y1) ** 2 AS yx FROM q),
-w AS (SELECT *, avg((xx + yy + xy + yx) / 4) OVER () AS w FROM d),
-k AS (SELECT {KERNELS["xx"]} AS xx, {KERNELS["yy"]} AS yy, {KERNELS["xy"]} AS xy, {KERNELS["yx"]} AS yx FROM w)
+WITH n AS (SELECT embedding::DOUBLE[] AS v, label % 2 AS part, vec_id FROM embeddings WHERE label % 2 IN (0, 1)),
+a AS (SELECT v, row_number() OVER (ORDER BY vec_id % 64, vec_id) - 1 AS i, count(*) OVER () AS n FROM n WHERE part = 0),
+b AS (SELECT v, row_number() OVER (ORDER BY vec_id % 64, vec_id) - 1 AS i, count(*) OVER () AS n FROM n WHERE part = 1),
+g AS (SELECT i FROM a UNION SELECT i FROM b),
+w AS (SELECT avg(list_distance(p.v, q.v) ** 2) AS w FROM n p JOIN n q ON p.vec_id <> q.vec_id),
+d AS (SELECT 'x' AS kind, list_distance(p.v, q.v) ** 2 AS d FROM a p JOIN a q ON q.i = (p.i + 1) % p.n
+UNION ALL SELECT 'y', list_distance(p.v, q.v) ** 2 FROM b p JOIN b q ON q.i = (p.i + 1) % p.n
+UNION ALL SELECT 'xy', list_distance(a.v, b.v) ** 2 FROM g JOIN a ON a.i = g.i % a.n JOIN b ON b.i = (g.i + 1) % b.n
+UNION ALL SELECT 'xy', list_distance(a.v, b.v) ** 2 FROM g JOIN a ON a.i = (g.i + 1) % a.n JOIN b ON b.i = g.i % b.n),
+m AS (SELECT avg(k) FILTER (kind = 'x') AS x, avg(k) FILTER (kind = 'y') AS y, avg(k) FILTER (kind = 'xy') AS xy FROM (SELECT kind, {KERNEL} AS k FROM d, w))
 ---
-SELECT count(*) AS pairs, avg(xx) AS k_source, avg(yy) AS k_target, avg((xy + yx) / 2) AS k_between, avg(xx + yy - xy - yx) AS mmd FROM k""")
+SELECT (SELECT count(*) FROM g) AS pairs, x AS k_source, y AS k_target, xy AS k_between, x + y - 2 * xy AS mmd FROM m""")
 def mmd_linear(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("label") % 2).alias("part"))
     return joins.kernel_sums(e.filter("part = 0"), e.filter("part = 1"), "vec_id", "v")

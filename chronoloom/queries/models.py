@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-
 from pyspark.sql import functions as F
 
 from chronoloom.operators import anomaly as ad
@@ -105,9 +102,9 @@ def shifting_band(spark, d):
     return ad.shifting_band(hourly(spark, d), BY, "time", "y", 24, 2.0)
 
 
-@query("knn_distance", "sid time knn_mean:d knn_max:d", f"WITH {SHIPPED}, x AS (SELECT * FROM s WHERE time < TIMESTAMP '1996-06-01'), p AS (SELECT a.sid, a.time, abs(a.rev - b.rev) AS d, row_number() OVER (PARTITION BY a.sid, a.time ORDER BY abs(a.rev - b.rev)) AS n FROM x a JOIN x b ON a.sid = b.sid AND a.time <> b.time)\n---\nSELECT sid, time, avg(d) AS knn_mean, max(d) AS knn_max FROM p WHERE n <= 5 GROUP BY 1, 2")
+@query("knn_distance", "sid time knn_mean:d knn_max:d", f"WITH {SHIPPED}, p AS (SELECT a.sid, a.time, min(abs(a.rev - b.rev), 5) AS d FROM s a JOIN s b ON a.sid = b.sid AND a.time <> b.time GROUP BY 1, 2)\n---\nSELECT sid, time, list_avg(d) AS knn_mean, list_max(d) AS knn_max FROM p")
 def knn_distance(spark, d):
-    return ad.knn_distance(shipped(spark, d).filter("time < timestamp_ntz'1996-06-01'"), BY, "time", "rev", 5)
+    return ad.knn_distance(shipped(spark, d), BY, "time", "rev", 5)
 
 
 @query("vector_knn", "vec_id:l knn_mean:d knn_max:d", "WITH p AS (SELECT q.vec_id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id) AS n FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)\n---\nSELECT vec_id, avg(d) AS knn_mean, max(d) AS knn_max FROM p WHERE n <= 5 GROUP BY vec_id")
@@ -144,7 +141,7 @@ def grubbs(spark, d):
 
 @query("iforest", "sid time score:d is_anomaly")
 def iforest(spark, d):
-    return ad.isolation_forest(shipped(spark, d), BY, ["qty", "rev"], trees=30)
+    return ad.isolation_forest(shipped(spark, d), BY, ["qty", "rev"])
 
 
 @query("one_class", "sid time score:d is_anomaly")
@@ -322,7 +319,7 @@ def windowed_forecast(spark, d):
 @query("forecast_interval", "time step:i predict_value:d low:d high:d")
 def forecast_interval(spark, d):
     h = hourly(spark, d)
-    got = bt.scores(bt.naive_predictions(h, bt.window_bounds(h, BY, 336, 24, 5), BY, "y"), ["window"])
+    got = bt.scores(bt.naive_predictions(h, bt.window_bounds(h, BY, 336, 24), BY, "y"), ["window"])
     return fc.interval(usmr_ols(spark, d), got)
 
 
@@ -374,14 +371,14 @@ def ts_folds(spark, d):
     return bt.fold_bounds(typed(spark, d), BY, 5)
 
 
-BACK = f"WITH {HOURLY}, p AS (SELECT *, row_number() OVER (ORDER BY time) - 1 AS i, count(*) OVER () AS m FROM h), w AS (SELECT w, m - 24 * w AS a, m - 24 * w + 23 AS b FROM (SELECT max(m) AS m FROM p), (SELECT unnest(range(1, 6)) AS w)), t AS (SELECT w.w, p.time, p.y, p.i - (((p.i - w.a) // {{m}}) + 1) * {{m}} AS src FROM p JOIN w ON p.i BETWEEN w.a AND w.b), e AS (SELECT t.w, t.time, t.y, q.y AS p FROM t JOIN p q ON t.src = q.i)"
+BACK = f"WITH {HOURLY}, p AS (SELECT *, row_number() OVER (ORDER BY time) - 1 AS i, count(*) OVER () AS m FROM h), w AS (SELECT w, m - 24 * w AS a, m - 24 * w + 23 AS b FROM (SELECT m, unnest(range(1, 1 + greatest((m - (336 - 24)) // 24, 0))) AS w FROM (SELECT max(m) AS m FROM p))), t AS (SELECT w.w, p.time, p.y, p.i - (((p.i - w.a) // {{m}}) + 1) * {{m}} AS src FROM p JOIN w ON p.i BETWEEN w.a AND w.b), e AS (SELECT t.w, t.time, t.y, q.y AS p FROM t JOIN p q ON t.src = q.i)"
 SCORE = "avg((y - p) * (y - p)) AS mse, avg(abs(y - p)) AS mae, 1 - avg((y - p) * (y - p)) / var_pop(y) AS r2"
 
 
 def _backtest(season):
     def run(spark, d):
         h = hourly(spark, d)
-        return bt.scores(bt.naive_predictions(h, bt.window_bounds(h, BY, 336, 24, 5), BY, "y", season), ["window"])
+        return bt.scores(bt.naive_predictions(h, bt.window_bounds(h, BY, 336, 24), BY, "y", season), ["window"])
 
     return run
 
@@ -393,7 +390,7 @@ query("backtest_period_6", "window:i mse:d mae:d r2:d", BACK.format(m=6) + f"\n-
 @query("backtest_ridge", "window:i mae:d rmse:d r2:d")
 def backtest_ridge(spark, d):
     h = windows.lags(hourly(spark, d), BY, ORDER, ["y"], [24, 25, 48]).na.drop()
-    return bt.scores(bt.backtest(h, bt.window_bounds(h, BY, 336, 24, 5), BY, "y", ["y_lag_24", "y_lag_25", "y_lag_48"]), ["window"])
+    return bt.scores(bt.backtest(h, bt.window_bounds(h, BY, 336, 24), BY, "y", ["y_lag_24", "y_lag_25", "y_lag_48"]), ["window"])
 
 
 @query("random_search", "trial:i params mae:d")
@@ -403,7 +400,7 @@ def random_search(spark, d):
     def make(penalty):
         return lambda x, y, new: bt.ridge_kernel(x, y, new, penalty)
 
-    return bt.random_search(h, bt.fold_bounds(h, BY, 3), BY, "y", ["y_lag_24", "y_lag_48"], {"penalty": [0.01, 0.1, 1.0, 10.0, 100.0]}, make, 4)
+    return bt.random_search(h, bt.fold_bounds(h, BY, 3), BY, "y", ["y_lag_24", "y_lag_48"], {"penalty": [0.01, 0.1, 1.0, 10.0, 100.0]}, make)
 
 
 @query("walk_forward_refit", "time predict_value:d")
@@ -496,26 +493,20 @@ def linear_var(spark, d):
     return sta.linear_var(shipped(spark, d), BY, ["qty", "rev"], [0, 1, 2], 1)[1]
 
 
-@query("bayes_var", "column step:i mean:d low:d high:d")
+@query("bayes_var", "sid column step:i mean:d low:d high:d")
 def bayes_var(spark, d):
-    return sta.bayes_var(shipped(spark, d).filter("sid = 'A'"), ["qty", "rev"], draws=50)
+    return sta.bayes_var(shipped(spark, d), BY, ["qty", "rev"])
 
 
 @query("factor_impute", "sid time imputed:d")
 def factor_impute(spark, d):
-    return sta.factor_impute(typed(spark, d).withColumn("panel", F.lit(1)), ["panel", "sid"], "y", rounds=10)
+    return sta.factor_impute(typed(spark, d).withColumn("panel", F.lit(1)), ["panel", "sid"], "y")
 
 
 def _stream(spark, d, make, mode):
-    """Run a file stream over the events to its end; the rows are read back from a table in memory."""
-    schema = table(spark, d, "events").schema
-    folder = tempfile.mkdtemp(prefix="stream-")
-    try:
-        name = "s_" + folder.rsplit("-", 1)[1].replace("_", "x").lower()
-        source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(d)
-        return streams.run_to_end(make(source), name, mode, spark)
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
+    """Run a file stream over the events to its end."""
+    source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet*").parquet(d)
+    return streams.run_to_end(make(source), "events", mode, spark)
 
 
 @query("stream_resample", "ts event_type y:d n:l", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, event_type, avg(value / 3) AS y, count(*) AS n FROM events GROUP BY 1, 2")
@@ -547,7 +538,7 @@ def _run(spark, d, method):
     events = table(spark, d, "events").select(F.col("event_type").alias("sid"), F.window("ts", "1 hour").getField("start").alias("time"), "value")
     series = events.groupBy("sid", "time").agg(F.avg("value").alias("load"), F.count(F.lit(1)).cast("double").alias("n"))
     cfg = ForecastConfig("load", (1, 2, 24), "h", method=method, numeric=("n",), window_days=14, datetime_features=("hour", "weekday"))
-    return run(cfg, {"target_series": series}, BY, windows_limit=3)
+    return run(cfg, {"target_series": series}, BY)
 
 
 @query("run_scores", "sid window mae:d rmse:d r2:d")
@@ -562,8 +553,8 @@ def run_forecast(spark, d):
 
 @query("suod_average", "sid time average:d maximum:d")
 def suod_average(spark, d):
-    s = shipped(spark, d).filter("time < timestamp_ntz'1996-06-01'")
+    s = shipped(spark, d)
     lof = ad.density(s, BY, "time", "rev", "lof", 20).withColumnRenamed("score", "lof")
-    forest = ad.isolation_forest(lof, BY, ["qty", "rev"], trees=20).drop("is_anomaly").withColumnRenamed("score", "forest")
+    forest = ad.isolation_forest(lof, BY, ["qty", "rev"]).drop("is_anomaly").withColumnRenamed("score", "forest")
     near = ad.knn_distance(s, BY, "time", "rev", 5)
     return ad.combine_scores(forest.join(near, ["sid", "time"]), ["lof", "forest", "knn_mean"])

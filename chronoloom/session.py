@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +22,11 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one only on a single machine that names none."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or tempfile.mkdtemp(prefix="shared-")).rstrip("/")

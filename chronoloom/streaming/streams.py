@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronoloom.operators.aggregates import limits
+from chronoloom.session import shared_folder
 
 
 def read_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -56,11 +58,23 @@ def point_check(stream: DataFrame, key: str, time: str, column: str, window: int
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {time} {t}, {column} double, smooth double, is_anomaly boolean", "past array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str, spark: SparkSession, checkpoint: str | None = None) -> DataFrame:
-    """All available input through a query into a table in memory."""
-    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    (w.option("checkpointLocation", checkpoint) if checkpoint else w).start().awaitTermination()
-    return spark.table(name)
+def run_to_end(stream: DataFrame, name: str, mode: str, spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """All available input through a query whose micro-batches are written as Parquet under ``folder`` (by default the session's shared one).
+
+    A batch that is run again overwrites its own rows. In complete mode the last batch is the result, otherwise all of them are.
+    """
+    top = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{top}/rows/{k}")
+        done.append(k)
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    picked = done[-1:] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(stream.schema).parquet(*[f"{top}/rows/{k}" for k in picked])
 
 
 def score_request(spark: SparkSession, model, params: dict[str, float]) -> DataFrame:
