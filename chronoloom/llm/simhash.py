@@ -181,37 +181,54 @@ def links(codes: DataFrame, budget: int = BUDGET) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
+#: A key is hot if it holds one row in HOT or more; at most HOT keys are, whatever the size of the table.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, named: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``named``: one row a key, with the number ``n`` of its rows among all ``total``.
+
+    The rows of hot keys meet them by broadcast where they lie, so no task gathers them; the others are shuffled.
+    """
+    hot = F.col("n") * HOT >= total
+    many = named.filter(hot)
+    rest = rows.join(F.broadcast(many.select(key)), key, "left_anti").join(named.filter(~hot), key)
+    return rows.join(F.broadcast(many), key).unionByName(rest).drop("n")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge (u, v): root is the smallest node of its component.
 
-    Alternating large-star and small-star rounds; a hub's neighbours are never gathered,
-    only their minimum is, so a hub costs one aggregated row.
+    Alternating large-star and small-star rounds; a hub's neighbours are never gathered:
+    their minimum is one aggregated row, which goes to the hub's edges where they lie.
     """
     edges = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    state = None
+    size, state = edges.count(), None
     while True:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        edges = both.join(low, both["u"] == low["w"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-        near = edges.join(low, edges["u"] == low["w"])
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        edges = join_hot(both, low, "u", 2 * size).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        edges = durable(edges)
+        low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         pair = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
-        edges = durable(near.select(pair.alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
+        edges = durable(join_hot(edges, low, "u", edges.count()).select(pair.alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        state, size = now, now[0]
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """doc_id, th, fp, root (the smallest linked fingerprint) and component_id (the smallest doc_id reachable) for each row."""
     rows = durable(with_fingerprint(docs, shingle))
-    codes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    codes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    every, distinct = codes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
     comp = components(links(codes, budget))
-    rooted = codes.join(comp, codes["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_code = rooted.join(named, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
-    return rows.join(by_code, rows["fp"] == by_code["_fp"]).drop("_fp")
+    rooted = codes.join(comp, codes["fp"] == comp["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    rooted = durable(rooted)
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    by_code = durable(join_hot(rooted, named, "root", distinct).select("fp", "root", "component_id", F.col("copies").alias("n")))
+    return join_hot(rows, by_code, "fp", every).select("doc_id", "th", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
