@@ -16,6 +16,7 @@ from chronoloom.plans import statistical as sta
 from chronoloom.plans import strategies as fc
 from chronoloom.functions import calendar as cal
 from chronoloom.queries.base import BY, DAILY, HOURLY, ORDER, SHIPPED, TYPED, W, daily, hourly, query, shipped, table, typed
+from chronoloom.queries.fitted_sql import CUT, PAST, SQL
 from chronoloom.streaming import streams
 
 Z = "abs((x - avg(x) OVER w) / stddev_pop(x) OVER w)"
@@ -97,7 +98,7 @@ def seasonal_band(spark, d):
     return ad.seasonal_band(hourly(spark, d), BY, ORDER, "y", 24)
 
 
-@query("shifting_band", "time smooth:d is_anomaly")
+@query("shifting_band", "time smooth:d is_anomaly", SQL["shifting_band"])
 def shifting_band(spark, d):
     return ad.shifting_band(hourly(spark, d), BY, "time", "y", 24, 2.0)
 
@@ -240,19 +241,12 @@ def kpss(spark, d):
     return det.kpss(drop_missing(typed(spark, d), ["y"]), BY, ORDER, "y")
 
 
-# Forecasts: the last day of the hourly series is the future.
-CUT = "2024-01-30 00:00:00"
-
-
 def _past_future(spark, d):
     h = cal.calendar(hourly(spark, d), "time", ["hour"]).withColumn("x", F.sin(2 * F.pi() * F.col("dt_hour") / 24))
     t = F.lit(CUT).cast("timestamp_ntz")
     return h.filter(F.col("time") < t), h.filter(F.col("time") >= t).drop("y", "n")
 
 
-PAST = f"{HOURLY}, x AS (SELECT *, sin(2 * pi() * hour(time) / 24) AS x FROM h), p AS (SELECT * FROM x WHERE time < TIMESTAMP '{CUT}'), f AS (SELECT time, x, row_number() OVER (ORDER BY time) AS step FROM x WHERE time >= TIMESTAMP '{CUT}')"
-
-
 @query("usmdo_ols", "time step:i predict_value:d", f"WITH {PAST}, r AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM p)\n---\nSELECT time, step, a + b * x AS predict_value FROM f, r")
 def usmdo_ols(spark, d):
     past, future = _past_future(spark, d)
@@ -286,32 +280,32 @@ def _multi(spark, d):
     return past.withColumn("n", F.col("n").cast("double")), future
 
 
-@query("msmd_ridge", "time step:i predict_value:d")
+@query("msmd_ridge", "time step:i predict_value:d", SQL["msmd_ridge"])
 def msmd_ridge(spark, d):
     past, future = _multi(spark, d)
     return fc.forecast("MSMD", past, future, BY, "y", ["n"], ["x"], [1, 2, 24], 24)
 
 
-@query("msmr_var", "time step:i predict_value:d")
+@query("msmr_var", "time step:i predict_value:d", SQL["msmr_var"])
 def msmr_var(spark, d):
     past, future = _multi(spark, d)
     return fc.forecast("MSMR", past, future, BY, "y", ["n"], ["x"], [1, 2, 24], 24)
 
 
-@query("msmdr_persist", "time step:i predict_value:d")
+@query("msmdr_persist", "time step:i predict_value:d", SQL["msmdr_persist"])
 def msmdr_persist(spark, d):
     past, future = _multi(spark, d)
     return fc.forecast("MSMDR", past, future, BY, "y", ["n"], ["x"], [1, 2, 24], 24)
 
 
-@query("panel_usmr", "sid time step:i predict_value:d")
+@query("panel_usmr", "sid time step:i predict_value:d", SQL["panel_usmr"])
 def panel_usmr(spark, d):
     t = interpolate(typed(spark, d), BY, ORDER, ["y"])
     cut = F.lit(CUT).cast("timestamp_ntz")
     return fc.forecast("USMR", t.filter(F.col("time") < cut), t.filter(F.col("time") >= cut).drop("y"), BY, "y", [], [], [1, 2, 24], 24)
 
 
-@query("windowed_forecast", "time predict_value:d")
+@query("windowed_forecast", "time predict_value:d", SQL["windowed_forecast"])
 def windowed_forecast(spark, d):
     return fc.windowed_forecast(hourly(spark, d), BY, "y", fc.ar_fit, "multiple", 24, 12)
 
@@ -387,7 +381,7 @@ query("backtest_seasonal_naive", "window:i mse:d mae:d r2:d", BACK.format(m=24)
 query("backtest_period_6", "window:i mse:d mae:d r2:d", BACK.format(m=6) + f"\n---\nSELECT w AS \"window\", {SCORE} FROM e GROUP BY w")(_backtest(6))
 
 
-@query("backtest_ridge", "window:i mae:d rmse:d r2:d")
+@query("backtest_ridge", "window:i mae:d rmse:d r2:d", SQL["backtest_ridge"])
 def backtest_ridge(spark, d):
     h = windows.lags(hourly(spark, d), BY, ORDER, ["y"], [24, 25, 48]).na.drop()
     return bt.scores(bt.backtest(h, bt.window_bounds(h, BY, 336, 24), BY, "y", ["y_lag_24", "y_lag_25", "y_lag_48"]), ["window"])
@@ -403,12 +397,12 @@ def random_search(spark, d):
     return bt.random_search(h, bt.fold_bounds(h, BY, 3), BY, "y", ["y_lag_24", "y_lag_48"], {"penalty": [0.01, 0.1, 1.0, 10.0, 100.0]}, make)
 
 
-@query("walk_forward_refit", "time predict_value:d")
+@query("walk_forward_refit", "time predict_value:d", SQL["walk_forward_refit"])
 def walk_forward_refit(spark, d):
     return bt.walk_forward_refit(hourly(spark, d), BY, "y", 2, 100)
 
 
-@query("panel_cv_best_model", "sid naive:d seasonal_naive:d best_model")
+@query("panel_cv_best_model", "sid naive:d seasonal_naive:d best_model", SQL["panel_cv_best_model"])
 def panel_cv(spark, d):
     return bt.panel_cv(interpolate(typed(spark, d), BY, ORDER, ["y"]), BY, "y", 24, 2, 24)
 
@@ -437,7 +431,7 @@ def ensemble_simplex(spark, d):
     return spark.createDataFrame(list(zip(["p1", "p2"], w, strict=True)), "name string, weight double")
 
 
-@query("stacking", "time y_hat:d")
+@query("stacking", "time y_hat:d", SQL["stacking"])
 def stacking(spark, d):
     p = _predictions(spark, d)
     return ens.stack(p, ["p1", "p2"], "y").predict(p)
@@ -455,7 +449,7 @@ def ses(spark, d):
     return sta.ses(hourly(spark, d), BY, "y", [0.1, 0.5, 0.9])
 
 
-@query("ses_best", "sid alpha:d mae:d")
+@query("ses_best", "sid alpha:d mae:d", SQL["ses_best"])
 def ses_best(spark, d):
     return sta.best_ses(drop_missing(typed(spark, d), ["y"]), BY, "y", [i / 20 for i in range(1, 20)])
 
@@ -473,7 +467,7 @@ def _panel(*names):
 
 
 for _name in ("croston", "theta", "holt_winters", "ar", "arima", "prophet"):
-    query(_name, "sid model step:i predict_value:d low:d high:d")(_panel(_name))
+    query(_name, "sid model step:i predict_value:d low:d high:d", SQL.get(_name))(_panel(_name))
 
 FILLED = f"i AS (SELECT sid, time, y, row_number() OVER (PARTITION BY sid ORDER BY time DESC) AS k FROM ty WHERE y IS NOT NULL), s AS (SELECT unnest(range(1, 25)) AS step)"
 
@@ -488,7 +482,7 @@ def seasonal_naive(spark, d):
     return sta.panel_forecast(drop_missing(typed(spark, d), ["y"]), BY, "y", ["seasonal_naive"], 24, 24)
 
 
-@query("linear_var", "sid qty_next_1:d rev_next_1:d")
+@query("linear_var", "sid qty_next_1:d rev_next_1:d", SQL["linear_var"])
 def linear_var(spark, d):
     return sta.linear_var(shipped(spark, d), BY, ["qty", "rev"], [0, 1, 2], 1)[1]
 
