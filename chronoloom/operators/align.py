@@ -162,9 +162,16 @@ def split_date(df: DataFrame, time: str, at: str) -> DataFrame:
     return df.withColumn("part", F.when(F.col(time) < F.lit(at).cast("timestamp_ntz"), "train").otherwise("test"))
 
 
-def split_random(df: DataFrame, ratio: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    a, b = df.randomSplit([ratio, 1 - ratio], seed)
-    return a, b
+def hashed_share(keys: Cols, seed: int = 42) -> Column:
+    """A number in [0, 1) from the keys' text, the same on every run and after a lost executor; NULL keys are passed over."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(f"`{k}`").cast("string") for k in keys]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+def split_random(df: DataFrame, ratio: float, seed: int = 42, keys: Cols | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two parts by a hash of the keys (by default of all columns); rows with equal keys stay together."""
+    part = hashed_share(keys or df.columns, seed) < ratio
+    return df.filter(part), df.filter(~part)
 
 
 def predictors_and_target(df: DataFrame, predictors: Cols, targets: Cols) -> tuple[DataFrame, list[str], list[str]]:

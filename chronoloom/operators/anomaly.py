@@ -189,10 +189,11 @@ def dbscan_core(df: DataFrame, by: Cols, key: str, column: str, eps: float, leas
 
 
 def density(df: DataFrame, by: Cols, key: str, column: str, kind: str = "lof", k: int = 20) -> DataFrame:
-    """``score`` of a series' values by ``lof``, ``cof`` or ``sos``; each series is one (bounded) group."""
+    """``score`` of a series' values by ``lof``, ``cof`` or ``sos``; each series is one (bounded) group, and of equally near values the earlier by key counts."""
     kernel = {"lof": _lof, "cof": _cof, "sos": _sos}[kind]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
         return pdf.assign(score=kernel(pdf[column].to_numpy(float), k))
 
     return df.groupBy(*by).applyInPandas(run, f"{_ddl(df)}, score double")

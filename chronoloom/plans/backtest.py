@@ -94,10 +94,15 @@ def backtest(df: DataFrame, bounds: DataFrame, by: Cols, target: str, features:
     return rows.groupBy(*by, "window").applyInPandas(run, f"{kinds + ', ' if by else ''}window int, time {time}, y double, predict_value double")
 
 
+def draw(grid: dict[str, list], draws: int, seed: int) -> list[dict]:
+    """Different points of the grid, at most ``draws``."""
+    every = [dict(zip(grid, v, strict=True)) for v in product(*grid.values())]
+    return [every[i] for i in np.random.default_rng(seed).permutation(len(every))[:draws]]
+
+
 def random_search(df: DataFrame, bounds: DataFrame, by: Cols, target: str, features: Cols, grid: dict[str, list], make: Callable[..., Kernel], draws: int = 10, seed: int = 42) -> DataFrame:
     """(trial, params, mae) by increasing mean error over the folds; trials run side by side as groups of one job."""
-    every = [dict(zip(grid, v, strict=True)) for v in product(*grid.values())]
-    picks = [every[i] for i in np.random.default_rng(seed).permutation(len(every))[:draws]]
+    picks = draw(grid, draws, seed)
     cols = list(features)
     rows = in_windows(df.select(*by, "time", target, *features), bounds, by).na.drop(subset=[target, *features])
     rows = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(picks) - 1))))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.operators.align import hashed_share
 from chronoloom.plans.learners import Learner, Model, Ridge, gram
 
 Cols = Sequence[str]
@@ -44,7 +45,7 @@ def stack(validation: DataFrame, predictions: Cols, y: str, meta: Learner | None
 
 def out_of_fold(train: DataFrame, test: DataFrame, features: Cols, y: str, learners: dict[str, Learner], key: str, folds: int = 5) -> tuple[DataFrame, DataFrame]:
     """``{name}_oof`` for training rows from models of the other folds; for test rows the folds' mean."""
-    part = F.pmod(F.xxhash64(key), F.lit(folds))
+    part = F.floor(hashed_share([key]) * folds)
     out = None
     for k in range(folds):
         own, rest = train.filter(part == k), train.filter(part != k)

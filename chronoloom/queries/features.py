@@ -11,6 +11,7 @@ from chronoloom.operators.chunks import chunked, own_rows
 from chronoloom.plans import backtest as bt
 from chronoloom.plans import deterministic as det
 from chronoloom.queries.base import BY, DAILY, HOURLY, ORDER, SHIPPED, TYPED, W, daily, hourly, query, shipped, table, typed
+from chronoloom.queries.fitted_sql import SQL
 
 
 @query("lags_uni", "time y_lag_1:d y_lag_2:d y_lag_24:d", f"WITH {HOURLY}\n---\nSELECT time, lag(y, 1) OVER ({W}) AS y_lag_1, lag(y, 2) OVER ({W}) AS y_lag_2, lag(y, 24) OVER ({W}) AS y_lag_24 FROM h")
@@ -164,7 +165,7 @@ def acf(spark, d):
     return windows.lag_correlation(hourly(spark, d), BY, ORDER, "y", range(1, 7))
 
 
-@query("pacf", "lag:i pacf:d")
+@query("pacf", "lag:i pacf:d", SQL["pacf"])
 def pacf(spark, d):
     a = windows.lag_correlation(hourly(spark, d), BY, ORDER, "y", range(1, 7)).orderBy("lag").collect()  # six rows
     return spark.createDataFrame([(i, v) for i, v in enumerate(det.pacf([r.acf for r in a]), 1)], "lag int, pacf double")

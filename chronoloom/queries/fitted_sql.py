@@ -190,3 +190,117 @@ z AS (SELECT 48::BIGINT AS i, list(y ORDER BY i) AS ys, NULL::DOUBLE AS s, false
   FROM (SELECT p.i, p.y, ys, list_avg(ys[25:]) + (ys[25] + ys[1] - list_avg(ys[1:24]) - list_avg(ys[25:])) / 2 AS s FROM z JOIN p ON p.i = z.i + 1)))
 ---
 SELECT p.time, z.s AS smooth, coalesce(z.odd, false) AS is_anomaly FROM p LEFT JOIN z ON z.i = p.i"""
+
+ACF = f"{HOURLY}, m AS (SELECT *, avg(y) OVER () AS m FROM h), l AS (SELECT y, m, k, lag(y, k) OVER (PARTITION BY k ORDER BY time) AS l FROM m, (SELECT unnest(range(1, 7)) AS k)), a AS (SELECT list(a ORDER BY k) AS a FROM (SELECT k, sum((y - m) * (l - m)) / sum((y - m) * (y - m)) AS a FROM l GROUP BY k))"
+SQL["pacf"] = f"""WITH RECURSIVE {ACF}, z AS (SELECT 0 AS k, []::DOUBLE[] AS f FROM a
+  UNION ALL SELECT k + 1, list_append(list_transform(f, lambda v, j: v - n * f[k + 1 - j]), n) FROM (SELECT k, f, (a[k + 1] - coalesce(list_sum(list_transform(f, lambda v, j: v * a[k + 1 - j])), 0)) / (1 - coalesce(list_sum(list_transform(f, lambda v, j: v * a[j])), 0)) AS n FROM z, a WHERE k < 6))
+---
+SELECT k AS lag, f[k] AS pacf FROM z WHERE k > 0"""
+
+SQL["forecast_interval"] = f"""WITH RECURSIVE {PAST}, q AS (SELECT *, row_number() OVER (ORDER BY time) - 1 AS i, count(*) OVER () AS m FROM h),
+w AS (SELECT w, m - 24 * w AS a FROM (SELECT m, unnest(range(1, 1 + greatest((m - 312) // 24, 0))) AS w FROM (SELECT max(m) AS m FROM q))),
+e AS (SELECT w.w, avg(abs(q.y - b.y)) AS mae FROM w JOIN q ON q.i BETWEEN w.a AND w.a + 23 JOIN q b ON b.i = w.a - 1 GROUP BY w.w), d AS (SELECT 1.96 * sqrt(stddev_pop(mae)) AS d FROM e),
+l AS (SELECT y, lag(y) OVER (ORDER BY time) AS l FROM p), r AS (SELECT regr_slope(y, l) AS b, regr_intercept(y, l) AS a FROM l),
+z AS (SELECT 0 AS step, arg_max(y, time) AS v FROM p UNION ALL SELECT step + 1, a + b * v FROM z, r WHERE step < 24)
+---
+SELECT f.time, f.step, z.v AS predict_value, z.v - d.d AS low, z.v + d.d AS high FROM z JOIN f ON z.step = f.step, d"""
+
+SQL["lowess"] = f"""WITH {HOURLY}, p AS (SELECT time, y, row_number() OVER (ORDER BY time) AS t, count(*) OVER () AS n FROM h),
+k AS (SELECT a.t, (list(abs(b.t - a.t) ORDER BY abs(b.t - a.t)))[least(greatest(3, ceil(0.1::DOUBLE * any_value(a.n))), any_value(a.n))::BIGINT] AS h FROM p a, p b GROUP BY a.t),
+w AS (SELECT a.t, b.t - a.t AS x, b.y, greatest(0, 1 - (abs(b.t - a.t) / k.h / 1.0001::DOUBLE) ** 3) ** 3 AS w FROM p a JOIN k ON k.t = a.t JOIN p b ON abs(b.t - a.t) <= k.h),
+m AS (SELECT t, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM w GROUP BY t),
+f AS (SELECT w.t, any_value(my) - any_value(mx) * sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) ** 2) AS s FROM w JOIN m ON m.t = w.t GROUP BY w.t),
+o AS (SELECT time, s, 1.96 * stddev_pop(y - s) OVER () AS d FROM p JOIN f ON f.t = p.t)
+---
+SELECT time, s AS smooth, s - d AS low, s + d AS high FROM o"""
+
+# State: level and trend with their covariances before (x, p) and after (u, s) each observation; the smoother runs back over them.
+SQL["kalman"] = f"""WITH RECURSIVE {TYPED}, v AS (SELECT sid, time, y, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY sid) AS n, first_value(y IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS y0 FROM ty),
+g AS (SELECT sid, i, n, x1, x2, p11, p12, p22, CASE WHEN y IS NULL THEN 0 ELSE (y - x1) / (p11 + 1) END AS q, CASE WHEN y IS NULL THEN 0 ELSE 1 / (p11 + 1) END AS c FROM (SELECT sid, i, n, y, coalesce(y0, 0) AS x1, 0.0::DOUBLE AS x2, 1e3::DOUBLE AS p11, 0.0::DOUBLE AS p12, 1e3::DOUBLE AS p22 FROM v WHERE i = 1)
+  UNION ALL SELECT sid, i, n, x1, x2, p11, p12, p22, CASE WHEN y IS NULL THEN 0 ELSE (y - x1) / (p11 + 1) END, CASE WHEN y IS NULL THEN 0 ELSE 1 / (p11 + 1) END
+  FROM (SELECT v.sid, v.i, v.n, v.y, u1 + u2 AS x1, u2 AS x2, s11 + 2 * s12 + s22 + 0.1::DOUBLE AS p11, s12 + s22 AS p12, s22 + 0.01::DOUBLE AS p22
+    FROM (SELECT sid, i, x1 + p11 * q AS u1, x2 + p12 * q AS u2, p11 - p11 * p11 * c AS s11, p12 - p11 * p12 * c AS s12, p22 - p12 * p12 * c AS s22 FROM g) t JOIN v ON v.sid = t.sid AND v.i = t.i + 1)),
+f AS (SELECT sid, i, n, x1, x2, p11, p12, p22, p11 * p22 - p12 * p12 AS d, x1 + p11 * q AS u1, x2 + p12 * q AS u2, p11 - p11 * p11 * c AS s11, p12 - p11 * p12 * c AS s12, p22 - p12 * p12 * c AS s22 FROM g),
+b AS (SELECT sid, i, u1 AS z1, u2 AS z2 FROM f WHERE i = n
+  UNION ALL SELECT a.sid, a.i, u1 + ((s11 + s12) * e.p22 - s12 * e.p12) / e.d * (z1 - e.x1) + (s12 * e.p11 - (s11 + s12) * e.p12) / e.d * (z2 - e.x2),
+    u2 + ((s12 + s22) * e.p22 - s22 * e.p12) / e.d * (z1 - e.x1) + (s22 * e.p11 - (s12 + s22) * e.p12) / e.d * (z2 - e.x2)
+  FROM b JOIN (SELECT sid, i, u1, u2, s11, s12, s22 FROM f) a ON a.sid = b.sid AND a.i = b.i - 1 JOIN (SELECT sid, i, x1, x2, p11, p12, p22, d FROM f) e ON e.sid = b.sid AND e.i = b.i)
+---
+SELECT v.sid, v.time, b.z1 AS smooth, b.z2 AS slope FROM b JOIN v ON v.sid = b.sid AND v.i = b.i"""
+
+SQL["lof"] = f"""WITH {TYPED}, p AS (SELECT sid, time, y, count(*) OVER (PARTITION BY sid) AS n FROM ty WHERE y IS NOT NULL),
+e AS (SELECT a.sid, a.time, b.time AS near, abs(a.y - b.y) AS d, row_number() OVER (PARTITION BY a.sid, a.time ORDER BY abs(a.y - b.y), b.time) AS k FROM p a JOIN p b ON a.sid = b.sid AND a.time <> b.time),
+k AS (SELECT * FROM e WHERE k <= 50), r AS (SELECT sid, time, max(d) AS r FROM k GROUP BY sid, time),
+l AS (SELECT k.sid, k.time, 1 / greatest(avg(greatest(k.d, r.r)), 1e-10) AS l FROM k JOIN r ON r.sid = k.sid AND r.time = k.near GROUP BY k.sid, k.time)
+---
+SELECT k.sid, k.time, avg(b.l) / any_value(a.l) AS score FROM k JOIN l a ON a.sid = k.sid AND a.time = k.time JOIN l b ON b.sid = k.sid AND b.time = k.near GROUP BY k.sid, k.time"""
+
+_dev = [f"({c} - avg({c}) OVER ())" for c in ("qty", "rev", "disc")]
+SQL["pca_score"] = f"""WITH RECURSIVE {SHIPPED}, x AS (SELECT sid, time, {doubles(_dev)} AS x FROM s),
+c AS (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(v ORDER BY j) AS r FROM (SELECT i, j, sum(x[i] * x[j]) / (count(*) - 1) AS v FROM x, (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([1, 2, 3]) AS j) GROUP BY i, j) GROUP BY i)),
+z AS (SELECT 0 AS k, [1, 1, 1]::DOUBLE[] AS v UNION ALL SELECT k + 1, list_transform(n, lambda q: q / sqrt(list_dot_product(n, n))) FROM (SELECT k, list_transform(c.c, lambda r: list_dot_product(r, z.v)) AS n FROM z, c WHERE k < 200)),
+a AS (SELECT v, list_dot_product(v, list_transform(c.c, lambda r: list_dot_product(r, v))) AS e FROM z, c WHERE k = 200),
+t AS (SELECT x.*, a.e, list_dot_product(x.x, a.v) AS m, list_transform(x.x, lambda q, i: q - list_dot_product(x.x, a.v) * a.v[i]) AS o FROM x, a),
+i AS (SELECT c.c[2][2] * c.c[3][3] - c.c[2][3] ** 2 AS a11, c.c[1][3] * c.c[2][3] - c.c[1][2] * c.c[3][3] AS a12, c.c[1][2] * c.c[2][3] - c.c[1][3] * c.c[2][2] AS a13, c.c[1][1] * c.c[3][3] - c.c[1][3] ** 2 AS a22, c.c[1][2] * c.c[1][3] - c.c[1][1] * c.c[2][3] AS a23, c.c[1][1] * c.c[2][2] - c.c[1][2] ** 2 AS a33, c.c FROM c),
+u AS (SELECT sid, time, m * m / e AS major_score, (a11 * o[1] ** 2 + a22 * o[2] ** 2 + a33 * o[3] ** 2 + 2 * (a12 * o[1] * o[2] + a13 * o[1] * o[3] + a23 * o[2] * o[3])) / (c[1][1] * a11 + c[1][2] * a12 + c[1][3] * a13) AS minor_score, list_dot_product(o, o) AS reconstruction FROM t, i)
+---
+SELECT *, major_score > (SELECT quantile_cont(major_score, 0.99) FROM u) OR minor_score > (SELECT quantile_cont(minor_score, 0.99) FROM u) AS is_anomaly FROM u"""
+
+
+def share(key: str, seed: int = 42) -> str:
+    """The number in [0, 1) that decides the part of a row."""
+    return f"('0x' || substr(md5(concat_ws('|', {seed}, {key})), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+SQL["oof_stacking"] = f"""WITH RECURSIVE {HOURLY}, p AS (SELECT time, y, {doubles(["1", f"lag(y, 1) OVER ({W})", f"lag(y, 24) OVER ({W})"])} AS x, row_number() OVER ({W}) AS i FROM h),
+e AS (SELECT time, x, y, time < TIMESTAMP '{CUT}' AS train, floor({share("CAST(time AS VARCHAR)")} * 3)::BIGINT AS fold FROM p WHERE i > 24),
+r AS (SELECT k, x, [y] AS y FROM e, (SELECT unnest(range(3)) AS k) WHERE train AND fold <> k), {solve("a", "r", 3, 1, "CASE WHEN i > 1 THEN 1 ELSE 0 END")}, {solve("b", "r", 3, 1)}
+---
+SELECT time, train, avg({dot(column("a.w"), "x")}) AS a_oof, avg({dot(column("b.w"), "x")}) AS b_oof FROM e JOIN a ON NOT train OR a.k = fold JOIN b ON b.k = a.k GROUP BY time, train"""
+
+_two = doubles(["1", *[f"(b.a[{j}] - m[{j}]) / d[{j}]" for j in (1, 2)]])
+
+
+def searched(picks: Sequence[float]) -> str:
+    every = ", ".join(f"({k}, {p}::DOUBLE)" for k, p in enumerate(picks))
+    return f"""WITH RECURSIVE {HOURLY}, l AS (SELECT time, y, [lag(y, 24) OVER ({W}), lag(y, 48) OVER ({W})] AS a, row_number() OVER ({W}) AS i FROM h),
+p AS (SELECT time, y, a, i - 49 AS i, count(*) OVER () AS n FROM l WHERE i > 48),
+w AS (SELECT w, n // 4 AS c, n - n // 4 * (4 - w) AS t FROM (SELECT max(n) AS n FROM p), (SELECT unnest([1, 2, 3]) AS w)),
+b AS (SELECT w.w, p.i >= w.t AS test, p.a, p.y FROM p JOIN w ON p.i < w.t + w.c),
+e AS (SELECT w, [avg(a[1]), avg(a[2])] AS m, [stddev_pop(a[1]), stddev_pop(a[2])] AS d FROM b WHERE NOT test GROUP BY w), v AS (SELECT * FROM (VALUES {every}) AS v(trial, penalty)),
+g AS (SELECT b.w, v.trial * 10 + b.w AS k, v.trial, v.penalty, test, {_two} AS x, [b.y] AS y FROM b JOIN e ON b.w = e.w, v),
+r AS (SELECT k, x, y FROM g WHERE NOT test UNION ALL SELECT DISTINCT k, list_transform([1, 2, 3], lambda q: CASE WHEN q = c THEN sqrt(penalty) ELSE 0 END), [0.0::DOUBLE] FROM g, (SELECT unnest([1, 2, 3]) AS c)), {solve("s", "r", 3, 1)},
+o AS (SELECT trial, penalty, g.w, avg(abs(g.y[1] - {dot(column("s.w"), "g.x")})) AS mae FROM g JOIN s ON s.k = g.k WHERE test GROUP BY trial, penalty, g.w)
+---
+SELECT trial, '{{''penalty'': ' || CAST(penalty AS VARCHAR) || '}}' AS params, avg(mae) AS mae FROM o GROUP BY trial, penalty"""
+
+
+EVENTS = f"""ev AS (SELECT event_type AS sid, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS time, avg(value) AS y, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2),
+eg AS (SELECT sid, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS time FROM (SELECT sid, min(time) AS a, max(time) AS b FROM ev GROUP BY sid)),
+ep AS (SELECT eg.sid, eg.time, ev.y, ev.n, row_number() OVER (PARTITION BY eg.sid ORDER BY eg.time) AS p FROM eg LEFT JOIN ev ON ev.sid = eg.sid AND ev.time = eg.time),
+ef AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN {{'y': y, 'n': n, 'p': p}} END IGNORE NULLS) OVER a AS l, first_value(CASE WHEN y IS NOT NULL THEN {{'y': y, 'n': n, 'p': p}} END IGNORE NULLS) OVER b AS r
+  FROM ep WINDOW a AS (PARTITION BY sid ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY sid ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+v AS (SELECT sid, time, p AS i, coalesce(y, l.y + (r.y - l.y) * (p - l.p) / (r.p - l.p)) AS y, coalesce(n, l.n + (r.n - l.n) * (p - l.p) / (r.p - l.p)) AS n, hour(time) AS x1, (dayofweek(time) + 6) % 7 AS x2, count(*) OVER (PARTITION BY sid) AS m FROM ef)"""
+
+_exo = doubles(["1", *[f"lag({c}, {k}) OVER o" for c in ("y", "n") for k in LAGS], "x1", "x2"])
+_exo_held = doubles(["1", *[f"z.{c}[{25 - k}]" for c in ("ys", "ns") for k in LAGS], "hour(t)", "(dayofweek(t) + 6) % 7"])
+SQL["run_forecast"] = f"""WITH RECURSIVE {EVENTS}, l AS (SELECT {_exo} AS x, [y, n] AS y, i FROM v WINDOW o AS (PARTITION BY sid ORDER BY i)), r AS (SELECT 0 AS k, x, y FROM l WHERE i > 24), {solve("s", "r", 9, 2)},
+z AS (SELECT sid, 0 AS step, max(time) AS t, list(y ORDER BY i)[-24:] AS ys, list(n ORDER BY i)[-24:] AS ns FROM v GROUP BY sid
+  UNION ALL SELECT sid, step, t, list_append(ys[2:], {dot("wy", "x")}), list_append(ns[2:], {dot("wn", "x")}) FROM (SELECT z.sid, z.step, z.t, z.ys, z.ns, {column("s.w")} AS wy, {column("s.w", 2)} AS wn, {_exo_held} AS x
+    FROM (SELECT sid, step + 1 AS step, t + INTERVAL 1 HOUR AS t, ys, ns FROM z WHERE step < 24) z, s))
+---
+SELECT sid, t AS time, step, ys[24] AS predict_value FROM z WHERE step > 0"""
+
+_train = [f"lag(y, {k}) OVER o" for k in LAGS]
+_std = doubles(["1", *[f"(a[{j}] - q.m[{j}]) / q.d[{j}]" for j in range(1, 6)]])
+_step = doubles(["1", *[f"(z.ys[{25 - k}] - q.m[{j}]) / q.d[{j}]" for j, k in enumerate(LAGS, 1)], "(v.x1 - q.m[4]) / q.d[4]", "(v.x2 - q.m[5]) / q.d[5]"])
+SQL["run_scores"] = f"""WITH RECURSIVE {EVENTS}, w AS (SELECT sid, w, m - 24 * w AS t, greatest(m - 24 * w - 312, 0) AS f FROM (SELECT sid, m, unnest(range(1, 1 + greatest((m - 312) // 24, 0))) AS w FROM (SELECT DISTINCT sid, m FROM v))),
+c AS (SELECT w.sid || '/' || w.w AS k, w.sid, w.w, w.f, w.t, v.i, v.y, {doubles([*_train, "x1", "x2"])} AS a FROM w JOIN v ON v.sid = w.sid AND v.i > w.f AND v.i <= w.t WINDOW o AS (PARTITION BY w.sid, w.w ORDER BY v.i)),
+b AS (SELECT * FROM c WHERE i > f + 24),
+q AS (SELECT k, {doubles([f"avg(a[{j}])" for j in range(1, 6)])} AS m, list_transform({doubles([f"stddev_pop(a[{j}])" for j in range(1, 6)])}, lambda e: CASE WHEN e > 0 THEN e ELSE 1 END) AS d FROM b GROUP BY k),
+r AS (SELECT b.k, {_std} AS x, [b.y] AS y FROM b JOIN q ON q.k = b.k), {solve("s", "r", 6, 1, "1e-6")},
+z AS (SELECT k, sid, w, t AS i, list(y ORDER BY i)[-24:] AS ys, t + 24 AS e FROM c GROUP BY k, sid, w, t
+  UNION ALL SELECT z.k, z.sid, z.w, v.i, list_append(z.ys[2:], {dot(column("s.w"), _step)}), z.e FROM z JOIN v ON v.sid = z.sid AND v.i = z.i + 1 JOIN s ON s.k = z.k JOIN q ON q.k = z.k WHERE z.i < z.e),
+o AS (SELECT z.sid, CAST(z.w AS VARCHAR) AS "window", avg(abs(v.y - z.ys[24])) AS mae, sqrt(avg((v.y - z.ys[24]) ** 2)) AS rmse, 1 - avg((v.y - z.ys[24]) ** 2) / var_pop(v.y) AS r2 FROM z JOIN v ON v.sid = z.sid AND v.i = z.i WHERE z.i > z.e - 24 GROUP BY z.sid, z.w)
+---
+SELECT * FROM o UNION ALL SELECT sid, 'mean', avg(mae), avg(rmse), avg(r2) FROM o GROUP BY sid"""

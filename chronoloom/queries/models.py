@@ -16,7 +16,7 @@ from chronoloom.plans import statistical as sta
 from chronoloom.plans import strategies as fc
 from chronoloom.functions import calendar as cal
 from chronoloom.queries.base import BY, DAILY, HOURLY, ORDER, SHIPPED, TYPED, W, daily, hourly, query, shipped, table, typed
-from chronoloom.queries.fitted_sql import CUT, PAST, SQL
+from chronoloom.queries.fitted_sql import CUT, PAST, SQL, searched
 from chronoloom.streaming import streams
 
 Z = "abs((x - avg(x) OVER w) / stddev_pop(x) OVER w)"
@@ -132,7 +132,7 @@ def _density(kind, k):
 
 
 for _kind, _k in (("lof", 50), ("cof", 20), ("sos", 30)):
-    query(_kind, "sid time score:d")(_density(_kind, _k))
+    query(_kind, "sid time score:d", SQL.get(_kind))(_density(_kind, _k))
 
 
 @query("grubbs", "sid time is_anomaly")
@@ -150,7 +150,7 @@ def one_class(spark, d):
     return ad.one_class(shipped(spark, d), BY, ["qty", "rev"])
 
 
-@query("pca_score", "sid time major_score:d minor_score:d reconstruction:d is_anomaly")
+@query("pca_score", "sid time major_score:d minor_score:d reconstruction:d is_anomaly", SQL["pca_score"])
 def pca_score(spark, d):
     return ad.pca_scores(shipped(spark, d), ["qty", "rev", "disc"], 1)
 
@@ -206,12 +206,12 @@ def on_off_any(spark, d):
     return smooth.on_off(hourly(spark, d), BY, ORDER, "y", 70, 5, "or")
 
 
-@query("lowess", "time smooth:d low:d high:d")
+@query("lowess", "time smooth:d low:d high:d", SQL["lowess"])
 def lowess(spark, d):
     return smooth.lowess(hourly(spark, d), BY, "time", "y", 0.1)
 
 
-@query("kalman", "sid time smooth:d slope:d")
+@query("kalman", "sid time smooth:d slope:d", SQL["kalman"])
 def kalman(spark, d):
     return smooth.kalman(typed(spark, d), BY, "time", "y")
 
@@ -310,7 +310,7 @@ def windowed_forecast(spark, d):
     return fc.windowed_forecast(hourly(spark, d), BY, "y", fc.ar_fit, "multiple", 24, 12)
 
 
-@query("forecast_interval", "time step:i predict_value:d low:d high:d")
+@query("forecast_interval", "time step:i predict_value:d low:d high:d", SQL["forecast_interval"])
 def forecast_interval(spark, d):
     h = hourly(spark, d)
     got = bt.scores(bt.naive_predictions(h, bt.window_bounds(h, BY, 336, 24), BY, "y"), ["window"])
@@ -387,14 +387,17 @@ def backtest_ridge(spark, d):
     return bt.scores(bt.backtest(h, bt.window_bounds(h, BY, 336, 24), BY, "y", ["y_lag_24", "y_lag_25", "y_lag_48"]), ["window"])
 
 
-@query("random_search", "trial:i params mae:d")
+PENALTIES = [0.01, 0.1, 1.0, 10.0, 100.0]
+
+
+@query("random_search", "trial:i params mae:d", searched([p["penalty"] for p in bt.draw({"penalty": PENALTIES}, 10, 42)]))
 def random_search(spark, d):
     h = windows.lags(hourly(spark, d), BY, ORDER, ["y"], [24, 48]).na.drop()
 
     def make(penalty):
         return lambda x, y, new: bt.ridge_kernel(x, y, new, penalty)
 
-    return bt.random_search(h, bt.fold_bounds(h, BY, 3), BY, "y", ["y_lag_24", "y_lag_48"], {"penalty": [0.01, 0.1, 1.0, 10.0, 100.0]}, make)
+    return bt.random_search(h, bt.fold_bounds(h, BY, 3), BY, "y", ["y_lag_24", "y_lag_48"], {"penalty": PENALTIES}, make)
 
 
 @query("walk_forward_refit", "time predict_value:d", SQL["walk_forward_refit"])
@@ -437,11 +440,13 @@ def stacking(spark, d):
     return ens.stack(p, ["p1", "p2"], "y").predict(p)
 
 
-@query("oof_stacking", "time a_oof:d b_oof:d")
+@query("oof_stacking", "time train a_oof:d b_oof:d", SQL["oof_stacking"])
 def oof_stacking(spark, d):
     p = _predictions(spark, d)
     made = {"a": learners.create("ridge", penalty=1.0), "b": learners.create("ols")}
-    return ens.out_of_fold(p, p.limit(0), ["p1", "p2"], "y", made, "time", 3)[0]
+    past = F.col("time") < F.lit(CUT).cast("timestamp_ntz")
+    train, test = ens.out_of_fold(p.filter(past), p.filter(~past), ["p1", "p2"], "y", made, "time", 3)
+    return train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False)))
 
 
 @query("ses", "sid alpha:d level:d mae:d", "WITH RECURSIVE " + HOURLY + ", p AS (SELECT row_number() OVER (ORDER BY time) AS i, y FROM h), a AS (SELECT unnest([0.1::DOUBLE, 0.5::DOUBLE, 0.9::DOUBLE]) AS alpha), z AS (SELECT 1::BIGINT AS i, alpha, y AS l, 0.0::DOUBLE AS e FROM p, a WHERE i = 1 UNION ALL SELECT p.i, z.alpha, z.l + z.alpha * (p.y - z.l), z.e + abs(p.y - z.l) FROM z JOIN p ON p.i = z.i + 1)\n---\nSELECT 'all' AS sid, alpha, l AS level, e / (i - 1) AS mae FROM z WHERE i = (SELECT count(*) FROM h)")
@@ -535,12 +540,12 @@ def _run(spark, d, method):
     return run(cfg, {"target_series": series}, BY)
 
 
-@query("run_scores", "sid window mae:d rmse:d r2:d")
+@query("run_scores", "sid window mae:d rmse:d r2:d", SQL["run_scores"])
 def run_scores(spark, d):
     return _run(spark, d, "USMR").scores
 
 
-@query("run_forecast", "sid time step:i predict_value:d")
+@query("run_forecast", "sid time step:i predict_value:d", SQL["run_forecast"])
 def run_forecast(spark, d):
     return _run(spark, d, "MSMR").forecast
 

@@ -90,9 +90,12 @@ def split_tail_and_date(spark, d):
     return align.split_date(t, "time", "2024-01-20 00:00:00").groupBy("sid", "tail", F.col("part").alias("date")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("split_random", "part n:l")
+SHARE = "('0x' || substr(md5(concat_ws('|', 42, o_orderkey)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query("split_random", "part n:l", f"SELECT CASE WHEN {SHARE} < 0.8::DOUBLE THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM orders GROUP BY 1")
 def split_random(spark, d):
-    a, b = align.split_random(table(spark, d, "orders"), 0.8)
+    a, b = align.split_random(table(spark, d, "orders"), 0.8, keys=["o_orderkey"])
     return a.agg(F.lit("train").alias("part"), F.count(F.lit(1)).alias("n")).union(b.agg(F.lit("test").alias("part"), F.count(F.lit(1)).alias("n")))
 
 
