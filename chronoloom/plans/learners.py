@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,18 +27,28 @@ class Learner(Protocol):
 
 
 def gram(df: DataFrame, features: Cols, targets: Cols) -> tuple[np.ndarray, np.ndarray]:
-    """X'X and X'Y with an intercept column first, by one pass over complete rows; its size depends on columns only."""
-    full = df.na.drop(subset=[*features, *targets])
-    x = F.array(F.lit(1.0), *[F.col(f"`{c}`").cast("double") for c in features])
-    y = F.array(*[F.col(f"`{c}`").cast("double") for c in targets])
-    p, h = len(features) + 1, len(targets)
-    rows = full.select(x.alias("x"), y.alias("y"))
-    aggs = [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(p) for j in range(i, p)] + [F.sum(F.col("x")[i] * F.col("y")[j]) for i in range(p) for j in range(h)]
-    got = np.array([0.0 if v is None else v for v in rows.agg(*aggs).first()], float)
-    a, upper = np.zeros((p, p)), np.triu_indices(p)
-    a[upper] = got[: len(upper[0])]
-    a = a + a.T - np.diag(a.diagonal())
-    return a, got[len(upper[0]) :].reshape(p, h)
+    """X'X and X'Y with an intercept column first, by one pass over complete rows; its size depends on columns only.
+
+    Each partition sums its Arrow batches into one matrix, so the plan doesn't grow with the columns; the matrices are added up by cell.
+    """
+    names = list(dict.fromkeys([*features, *targets]))
+    full = df.na.drop(subset=names).select(*[F.col(f"`{c}`").cast("double").alias(str(i)) for i, c in enumerate(names)])
+    left, right = [names.index(c) for c in features], [names.index(c) for c in targets]
+    p, width = len(left) + 1, len(left) + 1 + len(right)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((p, width))
+        for b in batches:
+            values = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            x = np.column_stack([np.ones(b.num_rows), *[values[i] for i in left]])
+            total += x.T @ np.column_stack([x, *[values[i] for i in right]])
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(total.size), pa.int32()), "v": pa.array(total.ravel())})
+
+    got = np.zeros(p * width)
+    for r in full.mapInArrow(sums, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():  # one row for each cell
+        got[r["cell"]] = r["v"]
+    got = got.reshape(p, width)
+    return got[:, :p], got[:, p:]
 
 
 @dataclass
