@@ -32,7 +32,7 @@ def gram(df: DataFrame, features: Cols, targets: Cols) -> tuple[np.ndarray, np.n
     Each partition sums its Arrow batches into one matrix, so the plan doesn't grow with the columns; the matrices are added up by cell.
     """
     names = list(dict.fromkeys([*features, *targets]))
-    full = df.na.drop(subset=names).select(*[F.col(f"`{c}`").cast("double").alias(str(i)) for i, c in enumerate(names)])
+    full = df.select(*[F.col(f"`{c}`").cast("double").alias(str(i)) for i, c in enumerate(names)]).na.drop()
     left, right = [names.index(c) for c in features], [names.index(c) for c in targets]
     p, width = len(left) + 1, len(left) + 1 + len(right)
 
