@@ -1,7 +1,10 @@
 """Sums of products, hashed splits and density clusters against plain versions."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoloom.operators import align, anomaly
 from chronoloom.plans import ensemble, learners
@@ -19,6 +22,23 @@ def test_gram_over_partitions_skips_incomplete_rows(spark):
     assert not a.any() and not b.any() and a.shape == (2, 2) and b.shape == (2, 1)
 
 
+def test_ridge_of_large_values_against_exact_sums(spark):
+    """Daily totals of a large table: hundreds of thousands, beside an intercept of one."""
+    rng = np.random.default_rng(5)
+    qty = rng.normal(120_000, 9_000, 800)
+    x = np.c_[qty, 2 * qty + rng.normal(0, 4_000, 800), rng.normal(240_000, 18_000, 800)]
+    y = rng.normal(240_000, 18_000, 800)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in np.c_[x, y]], "a double, b double, c double, y double").repartition(5)
+    z = [[Fraction(float(v)) for v in (1.0, *r)] for r in x]
+    m = [[sum(r[i] * r[j] for r in z) for j in range(4)] + [sum(r[i] * Fraction(float(v)) for r, v in zip(z, y, strict=True))] for i in range(4)]
+    for s in range(4):
+        m[s] = [v / m[s][s] for v in m[s]]
+        m = [r if i == s else [v - r[s] * w for v, w in zip(r, m[s], strict=True)] for i, r in enumerate(m)]
+    want = sorted(float(sum(v * r[4] for v, r in zip(row, m, strict=True))) for row in z[:50])
+    got = learners.Ridge().fit(df, ["a", "b", "c"], ["y"]).predict(df.filter(F.col("a").isin(*map(float, qty[:50])))).collect()
+    assert sorted(r["y_hat"] for r in got) == pytest.approx(want, rel=0, abs=5e-7)
+
+
 def test_split_is_the_same_in_any_order_of_rows(spark):
     df = spark.createDataFrame([(i % 900, None if i % 7 else f"v{i}") for i in range(1000)], "id int, v string")
     a, b = align.split_random(df, 0.8, keys=["id"])
