@@ -1,15 +1,20 @@
 """Near-duplicate groups of whole texts: five-word shingle sets with Jaccard similarity of at least 0.8.
 
-Texts with one shingle set are one code.  Every code has MinHash values in ``BANDS`` bands of
-``ROWS``; codes that agree on a band are candidates.  A pair of similarity s is no candidate
-with probability (1 - s^ROWS)^BANDS: 5 in 100 000 at 0.8, less above.
+Texts with one shingle set are one code.  First comes SimHash, as in ``simhash``: fingerprints,
+the trie self-join and its links, each verified by the exact Jaccard similarity of the two texts;
+codes with one fingerprint are linked to the least of them.  What it links needs no more than that.
+
+Similar texts may differ in more bits than a trie can search, so what is still apart is completed:
+every code has MinHash values in ``BANDS`` bands of ``ROWS``; codes that agree on a band are
+candidates.  A pair of similarity s is no candidate with probability (1 - s^ROWS)^BANDS: 5 in
+100 000 at 0.8, less above.
 
 Within a bucket codes are compared by parity sketches: a bit for each residue of a shingle's
 hash, set if an odd number of shingles have it.  Two sketches never differ in more bits than
 their sets in shingles, and a similarity of at least 0.8 means that at most a ninth of both
 sizes differ; so what the sketches exclude is dissimilar for certain, and nearly all dissimilar
-pairs are excluded.  A bucket returns a spanning forest of what is left, surest pairs first,
-and each of its edges is verified by the exact Jaccard similarity of the two texts.  Whatever
+pairs are excluded.  A bucket returns a spanning forest of what is left and not yet linked, surest
+pairs first, and each of its edges is verified by the exact Jaccard similarity of the two texts.  Whatever
 is then still in different components, but not excluded, is verified pair by pair.  So neither
 the pairs of a group of near copies nor those of unlike texts in one bucket are ever rows.
 Buckets with the same codes are one; a large bucket is dealt into blocks of bounded size, which
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import FOLD, durable, require, small
-from chronoloom.llm.simhash import components, keep_first
+from chronoloom.llm.simhash import components, fingerprint, join_hot, keep_first, links
 
 SHINGLE, SEED = 5, 42
 #: The least similarity, as a fraction.
@@ -80,27 +85,28 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def with_code(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), code (of the shingle set), its size and sketch, and keys (of the bands) for each row."""
+    """doc_id, th (hash of the text), code (of the shingle set), its size and sketch, keys (of the bands) and fp (the fingerprint) for each row."""
     require(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes, sizes, sketches, keys = [], [], [], []
+            codes, sizes, sketches, keys, prints = [], [], [], [], []
             for t in b.column(1):
                 h = shingles(t.as_py())
+                prints.append(fingerprint(t.as_py()))
                 codes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 sizes.append(len(h))
                 sketches.append(sketch(h))
                 keys.append(np.array(band_keys(h), np.uint64).view(np.int64))
             code = pa.array(np.array(codes, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), code, pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "th", "code", "size", "sketch", "keys"],
+                [b.column(0), b.column(2), code, pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))],
+                ["doc_id", "th", "code", "size", "sketch", "keys", "fp"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th")).mapInArrow(
-        run, f"doc_id {kind}, th bigint, code bigint, size bigint, sketch binary, keys array<bigint>"
+        run, f"doc_id {kind}, th bigint, code bigint, size bigint, sketch binary, keys array<bigint>, fp bigint"
     )
 
 
@@ -148,10 +154,10 @@ class Bucket:
         return got + i + 1, guess <= SURE * most[got]
 
 
-def _forest(bucket: Bucket, block: np.ndarray, across: bool) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of the pairs that are not excluded, sure ones first; only of different blocks if ``across``."""
+def _forest(bucket: Bucket, block: np.ndarray, root: np.ndarray, across: bool) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of the pairs that are not excluded, sure ones first; only of different blocks if ``across``, and of different roots."""
     n = len(block)
-    label = np.arange(n)
+    label = np.unique(root, return_inverse=True)[1]
     s: list[int] = []
     t: list[int] = []
     for sure in (True, False):
@@ -187,7 +193,7 @@ def _pairs(buckets: DataFrame, codes: DataFrame, first: bool) -> DataFrame:
                 held = x.field("sketch")
                 bucket = Bucket(size, [held[k].as_py() for k in order.tolist()])
                 if first:
-                    s, t = _forest(bucket, block, across)
+                    s, t = _forest(bucket, block, root, across)
                 else:
                     s, t = [], []
                     for i in range(len(code) - 1):
@@ -204,6 +210,21 @@ def _pairs(buckets: DataFrame, codes: DataFrame, first: bool) -> DataFrame:
     return cells.select((F.col("i") < F.col("j")).alias("across"), "x").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+def _printed(codes: DataFrame) -> DataFrame:
+    """Distinct pairs u < v to verify by SimHash: the least codes of linked fingerprints, and each code with the least of its fingerprint."""
+    prints = durable(codes.groupBy("fp").agg(F.min("code").alias("least"), F.count("*").alias("n")))
+    far = links(prints.select("fp"))
+    u, v = prints.select(F.col("fp").alias("u"), F.col("least").alias("a")), prints.select(F.col("fp").alias("v"), F.col("least").alias("b"))
+    far = far.join(u, "u").join(v, "v").select("a", "b")
+    near = join_hot(codes.select("fp", "code"), prints.filter("n > 1"), "fp", codes.count()).select(F.col("code").alias("a"), F.col("least").alias("b"))
+    return far.union(near).filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def _rooted(codes: DataFrame, edges: DataFrame) -> DataFrame:
+    comp = components(edges)
+    return durable(codes.join(comp, codes["code"] == comp["node"], "left").select("code", "least", "th", "size", "sketch", F.coalesce("root", "code").alias("root")))
+
+
 def _verified(docs: DataFrame, codes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose texts are similar."""
     named = pairs.select(F.explode(F.array("u", "v")).alias("code")).distinct().join(codes.select("code", "th"), "code")
@@ -228,13 +249,15 @@ def _verified(docs: DataFrame, codes: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, th, code, root (the smallest linked code) and component_id (the smallest doc_id reachable) for each row."""
     rows = durable(with_code(docs))
-    codes = rows.groupBy("code").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    codes = rows.groupBy("code").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.min("fp").alias("fp"))
     codes = durable(codes)
+    printed = durable(_printed(codes))
+    edges = durable(_verified(docs, codes, printed))
     buckets = durable(_buckets(codes))
-    pairs = durable(_pairs(buckets, codes.withColumn("root", F.col("code")), True))
-    edges = durable(_verified(docs, codes, pairs))
-    comp = components(edges)
-    rooted = durable(codes.join(comp, codes["code"] == comp["node"], "left").select("code", "least", "th", "size", "sketch", F.coalesce("root", "code").alias("root")))
+    pairs = durable(_pairs(buckets, _rooted(codes, edges), True).join(printed, ["u", "v"], "left_anti"))
+    edges = durable(edges.union(_verified(docs, codes, pairs)))
+    rooted = _rooted(codes, edges)
+    pairs = pairs.union(printed)
     # Only buckets whose codes are not one component have anything left.
     mixed = buckets.join(rooted.select("code", "root"), "code").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
     more = durable(_pairs(buckets.join(mixed, "key", "left_semi"), rooted, False).join(pairs, ["u", "v"], "left_anti"))

@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word Jaccard similarity of at least 0.8."""
+    """One document of each near-duplicate group stays: SimHash links verified by five-word Jaccard similarity of at least 0.8, completed to all such pairs."""
     light_batches(spark)
     return nearjaccard.keep_one(docs)
 
