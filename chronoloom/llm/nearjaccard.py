@@ -18,7 +18,10 @@ pairs first, and each of its edges is verified by the exact Jaccard similarity o
 is then still in different components, but not excluded, is verified pair by pair.  So neither
 the pairs of a group of near copies nor those of unlike texts in one bucket are ever rows.
 Buckets with the same codes are one; a large bucket is dealt into blocks of bounded size, which
-meet two by two.  Components are those of ``simhash``.
+meet two by two.  Components are those of ``simhash``; up to ``LOCAL`` edges are contracted in one task.
+
+Every stage costs a task for each partition, however few rows there are, so a table that was cut by a
+checkpoint is read in as many parts as its counted rows need, and small sides of joins are broadcast.
 
 Defined results: texts without a word are copies of each other; fewer words than a shingle
 form one shingle; a group is linked through any chain of similar texts; nulls, repeated rows
@@ -35,8 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import FOLD, durable, require, small
-from chronoloom.llm.simhash import components, fingerprint, join_hot, keep_first, links
+from chronoloom.llm.common import BROADCAST_BYTES, FOLD, durable, require, small
+from chronoloom.llm.simhash import _components, components, fingerprint, join_hot, keep_first, links
 
 SHINGLE, SEED = 5, 42
 #: The least similarity, as a fraction.
@@ -48,6 +51,12 @@ BLOCK, SKETCH, LEAST_BITS = 4096, 4, 256
 SURE = 0.95
 #: Shingles hashed at once; bounds memory on very long texts.
 CHUNK = 1 << 12
+#: Rows of a task that reads a checkpoint: narrow ones, codes with sketches, texts.
+NARROW, WIDE, TEXTS = 1 << 14, 1 << 12, 1 << 9
+#: Edges up to which components are found in one task, of 16 bytes an edge.
+LOCAL = 1 << 20
+#: Bytes that a row of some numbers takes in a broadcast table.
+ROW_BYTES = 48
 
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -210,27 +219,63 @@ def _pairs(buckets: DataFrame, codes: DataFrame, first: bool) -> DataFrame:
     return cells.select((F.col("i") < F.col("j")).alias("across"), "x").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _printed(codes: DataFrame) -> DataFrame:
-    """Distinct pairs u < v to verify by SimHash: the least codes of linked fingerprints, and each code with the least of its fingerprint."""
-    prints = durable(codes.groupBy("fp").agg(F.min("code").alias("least"), F.count("*").alias("n")))
-    far = links(prints.select("fp"))
+def _parts(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """A checkpointed table of ``rows`` rows in parts of about ``each``."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def _packed(df: DataFrame) -> tuple[DataFrame, int]:
+    """A table of narrow rows, cut by a checkpoint, and its number of rows."""
+    df = durable(df)
+    n = df.count()
+    return _parts(df, n, NARROW), n
+
+
+def _printed(codes: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """Distinct pairs u < v to verify by SimHash, and their number: the least codes of linked fingerprints, and each code with the least of its fingerprint."""
+    prints, _ = _packed(codes.groupBy("fp").agg(F.min("code").alias("least"), F.count("*").alias("n")))
+    far, n = _packed(links(prints.select("fp")))
     u, v = prints.select(F.col("fp").alias("u"), F.col("least").alias("a")), prints.select(F.col("fp").alias("v"), F.col("least").alias("b"))
-    far = far.join(u, "u").join(v, "v").select("a", "b")
-    near = join_hot(codes.select("fp", "code"), prints.filter("n > 1"), "fp", codes.count()).select(F.col("code").alias("a"), F.col("least").alias("b"))
-    return far.union(near).filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    far = small(small(far, n, ROW_BYTES).join(u, "u"), n, ROW_BYTES).join(v, "v").select("a", "b")
+    many, own = prints.filter("n > 1"), codes.select("fp", "code")
+    shared = many.count()
+    near = own.join(F.broadcast(many), "fp") if shared * ROW_BYTES <= BROADCAST_BYTES else join_hot(own, many, "fp", total)
+    near = near.select(F.col("code").alias("a"), F.col("least").alias("b"))
+    return _packed(far.union(near).filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+
+
+def _roots(edges: DataFrame, n: int) -> DataFrame:
+    """``components`` of n edges."""
+    if n > LOCAL:
+        return components(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not got:
+            return
+        u, v = (np.concatenate(x) for x in zip(*got, strict=True))
+        nodes = np.unique(np.concatenate((u, v)))
+        root = nodes[_components(len(nodes), np.searchsorted(nodes, u), np.searchsorted(nodes, v))]
+        for i in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(root[i : i + (1 << 16)])], ["node", "root"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node bigint, root bigint")
 
 
-def _rooted(codes: DataFrame, edges: DataFrame) -> DataFrame:
-    comp = components(edges)
+def _rooted(codes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    comp = small(_roots(edges, n), 2 * n, ROW_BYTES)
     return durable(codes.join(comp, codes["code"] == comp["node"], "left").select("code", "least", "th", "size", "sketch", F.coalesce("root", "code").alias("root")))
 
 
-def _verified(docs: DataFrame, codes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose texts are similar."""
-    named = pairs.select(F.explode(F.array("u", "v")).alias("code")).distinct().join(codes.select("code", "th"), "code")
-    named = durable(named)
-    texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th")).join(small(named, named.count(), 32), "th")
-    texts = durable(texts.groupBy("code").agg(F.first("text").alias("text")))
+def _verified(docs: DataFrame, codes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """Those of n pairs whose texts are similar."""
+    if not n:
+        return pairs
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("code"))
+    ends = F.broadcast(ends) if 2 * n * ROW_BYTES <= BROADCAST_BYTES else ends.distinct()
+    named, k = _packed(codes.select("code", "th").join(ends, "code", "left_semi"))
+    texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th")).join(small(named, k, 32), "th")
+    texts = _parts(durable(texts.groupBy("code").agg(F.first("text").alias("text"))), k, TEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -249,24 +294,27 @@ def _verified(docs: DataFrame, codes: DataFrame, pairs: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, th, code, root (the smallest linked code) and component_id (the smallest doc_id reachable) for each row."""
     rows = durable(with_code(docs))
-    codes = rows.groupBy("code").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.min("fp").alias("fp"))
+    codes = rows.groupBy("code").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.min("fp").alias("fp"), F.count("*").alias("copies"))
     codes = durable(codes)
-    printed = durable(_printed(codes))
-    edges = durable(_verified(docs, codes, printed))
-    buckets = durable(_buckets(codes))
-    pairs = durable(_pairs(buckets, _rooted(codes, edges), True).join(printed, ["u", "v"], "left_anti"))
-    edges = durable(edges.union(_verified(docs, codes, pairs)))
-    rooted = _rooted(codes, edges)
-    pairs = pairs.union(printed)
+    n, every = codes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    rows, codes = _parts(rows, every, WIDE), _parts(codes, n, WIDE)
+    printed, n_printed = _printed(codes, n)
+    edges, n_edges = _packed(_verified(docs, codes, printed, n_printed))
+    buckets, _ = _packed(_buckets(codes))
+    pairs, n_pairs = _packed(_pairs(buckets, _rooted(codes, edges, n_edges), True).join(small(printed, n_printed, ROW_BYTES), ["u", "v"], "left_anti"))
+    edges, n_edges = _packed(edges.union(_verified(docs, codes, pairs, n_pairs)))
+    rooted = _rooted(codes, edges, n_edges)
     # Only buckets whose codes are not one component have anything left.
-    mixed = buckets.join(rooted.select("code", "root"), "code").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    more = durable(_pairs(buckets.join(mixed, "key", "left_semi"), rooted, False).join(pairs, ["u", "v"], "left_anti"))
-    if more.limit(1).count():
-        comp = components(edges.union(_verified(docs, codes, more)))
-        rooted = codes.join(comp, codes["code"] == comp["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root"))
+    mixed = buckets.join(small(rooted.select("code", "root"), n, ROW_BYTES), "code").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    mixed, n_mixed = _packed(mixed)
+    if n_mixed:
+        done = small(pairs.union(printed), n_pairs + n_printed, ROW_BYTES)
+        more, n_more = _packed(_pairs(buckets.join(small(mixed, n_mixed, ROW_BYTES), "key", "left_semi"), rooted, False).join(done, ["u", "v"], "left_anti"))
+        if n_more:
+            rooted = _rooted(codes, *_packed(edges.union(_verified(docs, codes, more, n_more))))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_code = rooted.join(named, "root").select(F.col("code").alias("_code"), "root", "component_id")
-    return rows.select("doc_id", "th", "code").join(by_code, rows["code"] == by_code["_code"]).drop("_code")
+    by_code = durable(rooted.join(small(named, n, ROW_BYTES), "root").select(F.col("code").alias("_code"), "root", "component_id"))
+    return rows.select("doc_id", "th", "code").join(small(by_code, n, ROW_BYTES), rows["code"] == by_code["_code"]).drop("_code")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
