@@ -1,12 +1,13 @@
-"""Nearest neighbours by inner product with randomly rotated one-bit codes.
+"""Nearest neighbours by inner product with randomly rotated codes.
 
-Vectors are rotated by a random orthogonal matrix and centred; a code keeps the sign of
-each coordinate, packed into bits, and three scalars: the length of the centred vector,
-its inner product with the code's unit vector, and its inner product with the centre.
-The inner product with a query is estimated from the bits and scalars, with an error
-bound that holds but for a chance set by EPSILON.  A candidate is reranked on the
-original vectors, in double precision, if its upper bound reaches the k-th largest lower
-bound of its block.
+Vectors are rotated by a random orthogonal matrix and centred; a code keeps BITS bits of
+each coordinate, the first of them its sign, on a grid as wide as the vector's largest
+coordinate, and two scalars: the grid's step and the length of what the code leaves out.
+The inner product with a query is estimated from the code; it is off by at most the query's
+length times the length left out, and rounding.  A candidate is reranked on the original
+vectors, in double precision, if its upper bound reaches the k-th largest lower bound of its
+block; so no neighbour is lost.  Every query meets the code of every row: that work grows
+with the product of both, reranking only with the queries and blocks.
 
 Query rows meet candidate rows in blocks: both are dealt into blocks of at most about
 BLOCK rows, each pair of blocks is one group, and a group returns at most k candidates
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import durable, require
 
-K, EVERY, BLOCK, EPSILON, SEED = 20, 20, 8192, 3.0, 5
+K, EVERY, BLOCK, BITS, SEED = 20, 20, 8192, 8, 5
+#: Queries compared at once, and pairs reranked at once.
+BATCH, RERANK = 256, 1 << 16
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -37,26 +40,38 @@ def rotation(dim: int) -> np.ndarray:
 
 
 class Codes:
-    """One-bit codes of vectors around a centre."""
+    """Codes of vectors around a centre."""
 
     def __init__(self, x: np.ndarray, centre: np.ndarray, turn: np.ndarray):
-        self.dim = x.shape[1]
+        half = 1 << (BITS - 1)
         apart = (x - centre) @ turn
-        self.length = np.linalg.norm(apart, axis=1)
-        self.bits = np.packbits(apart >= 0, axis=1)
-        unit = apart / np.maximum(self.length, 1e-300)[:, None]
-        self.aligned = np.abs(unit).sum(1) / np.sqrt(self.dim)  # inner product of the unit vector and its code
-        self.aligned[self.length == 0] = 1.0
-
-    def bounds(self, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products with each query (queries x codes), and how far off they may be."""
-        signs = np.unpackbits(self.bits, axis=1, count=self.dim).astype(np.float32) * 2 - 1
-        q = queries @ turn
-        guess = (q.astype(np.float32) @ signs.T).astype(np.float64) / np.sqrt(self.dim)
-        guess = guess * (self.length / self.aligned) + (queries @ centre)[:, None]
-        loss = np.sqrt(np.maximum(0.0, 1 / self.aligned**2 - 1) / max(1, self.dim - 1))
-        off = EPSILON * np.linalg.norm(queries, axis=1)[:, None] * (self.length * loss)[None, :]
-        return guess, off + 1e-5 * np.abs(guess) + 1e-9
+        step = np.abs(apart).max(1) / half
+        at = np.floor(apart / np.where(step > 0, step, 1)[:, None]).clip(-half, half - 1) + 0.5
+        left = np.linalg.norm(apart - at * step[:, None], axis=1)
+        length = np.linalg.norm(at, axis=1) * step
+        # Rounding: of a product in single precision, and of centring and turning in double precision.
+        self.off = (left * (1 + 1e-6) + (x.shape[1] + 16) * 2.0**-23 * length + 1e-12 * (np.linalg.norm(x, axis=1) + np.linalg.norm(centre)) + 1e-37).astype(np.float32)
+        self.at, self.step, self.turn = at.astype(np.float32), step.astype(np.float32), turn
+
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds (queries x codes) of inner products, less that with the centre, for queries of length one."""
+        unit = (queries @ self.turn) / np.linalg.norm(queries, axis=1)[:, None]
+        guess = unit.astype(np.float32) @ self.at.T
+        guess *= self.step
+        low = guess - self.off
+        guess += self.off
+        return low, guess
+
+    def candidates(self, queries: np.ndarray, skip: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (query, row) that may be among a query's k nearest; skip: its own row, or -1."""
+        low, high = self.bounds(queries)
+        own = np.flatnonzero(skip >= 0)
+        low[own, skip[own]] = -np.inf
+        n = low.shape[1]
+        floor = np.partition(low, n - min(k, n), axis=1)[:, n - min(k, n)]
+        maybe = ~(high < floor[:, None])  # what has no bounds is kept
+        maybe[own, skip[own]] = False
+        return np.nonzero(maybe)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -87,27 +102,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
 
     def near(q: pa.Table, c: pa.Table) -> pa.Table:
         kind = c.schema.field("vec_id").type
-        out: list[list] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], [], []]
         if q.num_rows and c.num_rows:
             qi, ci = (np.array(t.column("vec_id")) for t in (q, c))
             qx, cx = (np.array(t.column("v").combine_chunks().flatten()).reshape(-1, dim) for t in (q, c))
             codes = Codes(cx, centre, turn)
-            for at in range(0, len(qi), 256):
-                guess, off = codes.bounds(qx[at : at + 256], centre, turn)
-                low = guess - off
-                own = qi[at : at + 256, None] == ci[None, :]
-                low[own] = -np.inf
-                n = min(k, len(ci))
-                floor = np.partition(low, len(ci) - n, axis=1)[:, len(ci) - n]
-                maybe = (guess + off >= floor[:, None]) & ~own
-                for r in range(len(maybe)):
-                    got = np.flatnonzero(maybe[r])
-                    exact = np.cumsum(cx[got] * qx[at + r], axis=1)[:, -1]  # summed in order, so the same in any block
-                    first = np.lexsort((ci[got], -exact))[:k]
-                    out[0] += [qi[at + r]] * len(first)
-                    out[1] += ci[got[first]].tolist()
-                    out[2] += exact[first].tolist()
-        return pa.table({"query_id": pa.array(out[0], kind), "vec_id": pa.array(out[1], kind), "score": pa.array(out[2], pa.float64())})
+            order = np.argsort(ci)
+            place = np.searchsorted(ci[order], qi).clip(max=len(ci) - 1)
+            skip = np.where(ci[order][place] == qi, order[place], -1)
+            for at in range(0, len(qi), BATCH):
+                r, c = codes.candidates(qx[at : at + BATCH], skip[at : at + BATCH], k)
+                exact = np.empty(len(r))
+                for i in range(0, len(r), RERANK):
+                    j = slice(i, i + RERANK)
+                    exact[j] = np.cumsum(cx[c[j]] * qx[at + r[j]], axis=1)[:, -1]  # summed in order, so the same in any block
+                first = np.lexsort((ci[c], -exact, r))
+                rank = np.arange(len(r)) - np.searchsorted(r, r)
+                first = first[rank < k]
+                out[0].append(qi[at + r[first]])
+                out[1].append(ci[c[first]])
+                out[2].append(exact[first])
+        return pa.table({n: pa.array(np.concatenate(x) if x else [], t) for n, x, t in zip(("query_id", "vec_id", "score"), out, (kind, kind, pa.float64()), strict=True)})
 
     found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(near, f"query_id {id_type}, vec_id {id_type}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
