@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from chronoloom.llm import ann, bpe, decontam, htmltext, licenses, lmscore, quality, secrets, sharding, simhash
+from chronoloom.llm import ann, bpe, decontam, htmltext, licenses, lmscore, quality, secrets, sharding, simhash, spelling
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_ann": ann.op8_ann,
     "op9_bpe": bpe.op9_bpe,
     "op10_secrets": secrets.op10_secrets,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 OP8_SQL = """
@@ -31,4 +32,5 @@ ORACLE_SQL = {
     "op2_licenses": licenses.op2_sql(),
     "op6_sharding": sharding.OP6_SQL,
     "op8_ann": OP8_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
