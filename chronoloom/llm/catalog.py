@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from chronoloom.llm import ann, bpe, decontam, htmltext, licenses, lmscore, quality, secrets, sharding, simhash, spelling, whiten
+from chronoloom.llm import ann, bpe, decontam, htmltext, licenses, lmscore, personal, quality, secrets, sharding, simhash, spelling, whiten
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_ann": ann.op8_ann,
     "op9_bpe": bpe.op9_bpe,
     "op10_secrets": secrets.op10_secrets,
+    "op11_personal": personal.op11_personal,
     "op12_whitening": whiten.op12_whitening,
     "op13_spelling": spelling.op13_spelling,
 }
