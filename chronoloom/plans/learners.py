@@ -1,4 +1,4 @@
-"""Learners behind one interface: closed-form ridge on aggregated Gram matrices, trees and others from MLlib."""
+"""Learners behind one interface: closed-form ridge on aggregated Gram matrices, histogram trees, others from MLlib."""
 
 from __future__ import annotations
 
@@ -149,18 +149,34 @@ def _forest(**kw):
     return RandomForestRegressor(**kw)
 
 
-#: Names, and the parameters that matter; rounds are few because each is a pass of its own.
+def _boosting(**defaults):
+    def make(**given):
+        from chronoloom.plans.trees import Boosting
+
+        return Boosting(**(defaults | given))
+
+    return make
+
+
+def _extra(**kw):
+    from chronoloom.plans.trees import ExtraTrees
+
+    return ExtraTrees(**kw)
+
+
+#: Names, and the parameters that matter. Boosted trees are histogram trees of ``plans.trees``, forests MLlib's.
 REGISTRY: dict[str, Callable[..., Learner]] = {
     "ridge": lambda **kw: Ridge(**kw),
     "ols": lambda **kw: Ridge(0.0),
-    "lgb": lambda **kw: MLlibLearner(_gbt, {"lossType": "absolute", "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "maxDepth": 5, "maxIter": 20, "seed": 42}, kw),
-    "xgb": lambda **kw: MLlibLearner(_gbt, {"lossType": "squared", "stepSize": 0.1, "maxDepth": 6, "maxIter": 20, "seed": 42}, kw),
-    "cat": lambda **kw: MLlibLearner(_gbt, {"lossType": "squared", "stepSize": 0.05, "maxDepth": 6, "maxIter": 20, "seed": 42}, kw),
+    "lgb": _boosting(objective="mae", rounds=1000, rate=0.05, leaves=31, bins=31, l1=0.5, l2=0.5, row_share=0.8, feature_share=0.8, patience=100),
+    "xgb": _boosting(objective="rmse", rounds=1000, rate=0.05, leaves=64, depth=6, bins=255, l2=1.0, rows=1, row_share=0.8, feature_share=0.8, patience=50),
+    "cat": _boosting(objective="rmse", rounds=1000, rate=0.05, leaves=64, depth=6, bins=254, l2=3.0, rows=1, patience=50),
+    "extra": _extra,
     "rf": lambda **kw: MLlibLearner(_forest, {"numTrees": 100, "maxDepth": 10, "seed": 42}, kw),
     "bagging": lambda **kw: MLlibLearner(_forest, {"numTrees": 30, "maxDepth": 12, "featureSubsetStrategy": "all", "seed": 42}, kw),
     "gbt": lambda **kw: MLlibLearner(_gbt, {"maxIter": 20, "seed": 42}, kw),
 }
-ALIASES = {"lightgbm": "lgb", "xgboost": "xgb", "catboost": "cat", "randomforest": "rf", "random_forest": "rf", "linear": "ols"}
+ALIASES = {"lightgbm": "lgb", "xgboost": "xgb", "catboost": "cat", "extratrees": "extra", "extra_trees": "extra", "randomforest": "rf", "random_forest": "rf", "linear": "ols"}
 
 
 def list_models() -> list[str]:
@@ -188,12 +204,17 @@ def hybrid(df: DataFrame, trend: Cols, features: Cols, target: str, second: Lear
 
 
 def classifier(name: str, **kw):
-    """Classifiers for stacking: logistic, rf, gbt."""
+    """Classifiers for stacking: logistic, rf, gbt from MLlib; adaboost, boosted stumps of ``plans.trees`` (``fit(df, features, label)``)."""
     from pyspark.ml import classification as c
 
+    if name == "adaboost":
+        from chronoloom.plans.trees import AdaBoost
+
+        return AdaBoost(**kw)
+
     made = {"logistic": lambda: c.LogisticRegression(**kw), "rf": lambda: c.RandomForestClassifier(**({"numTrees": 100, "seed": 42} | kw)), "gbt": lambda: c.GBTClassifier(**({"maxIter": 20, "seed": 42} | kw))}
     if name not in made:
-        raise ValueError(f"unsupported classifier {name}; there are {', '.join(made)}")
+        raise ValueError(f"unsupported classifier {name}; there are adaboost, {', '.join(made)}")
     return made[name]()
 
 

@@ -333,7 +333,7 @@ def _fit_score(name, **kw):
     return run
 
 
-query("gbt_importance", "feature importance:d")(_fit_score("lgb", maxIter=5))
+query("gbt_importance", "feature importance:d")(_fit_score("lgb", rounds=5))
 query("rf_importance", "feature importance:d")(_fit_score("rf", numTrees=10, maxDepth=5))
 
 
@@ -347,7 +347,7 @@ def ols_fit(spark, d):
 @query("hybrid_trend_gbt", "time y_hybrid:d")
 def hybrid_trend_gbt(spark, d):
     t = windows.lags(det.time_step(hourly(spark, d), BY, ORDER), BY, ORDER, ["y"], [1, 24]).na.drop()
-    return learners.hybrid(t, ["t"], ["y_lag_1", "y_lag_24"], "y", learners.create("xgb", maxIter=3, maxDepth=3))[2]
+    return learners.hybrid(t, ["t"], ["y_lag_1", "y_lag_24"], "y", learners.create("xgb", rounds=3, depth=3))[2]
 
 
 @query("naive_lag", "time y:d predict_value:d", f"WITH {HOURLY}\n---\nSELECT time, y, lag(y) OVER ({W}) AS predict_value FROM h")

@@ -220,7 +220,7 @@ def test_difference_sums_telescope(spark):
 def test_learner_registry(spark):
     with pytest.raises(ValueError, match="ridge"):
         learners.create("nope")
-    assert "lgb" in learners.list_models() and learners.create("LightGBM").params()["lossType"] == "absolute"
+    assert "lgb" in learners.list_models() and learners.create("LightGBM").params()["objective"] == "mae"
     df = series(spark, [2 * i + 1 for i in range(20)], x=[float(i) for i in range(20)])
     m = learners.create("ols").fit(df, ["x"], ["y"])
     assert m.weights.ravel().tolist() == pytest.approx([1, 2], abs=1e-8)
