@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +39,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def light_batches(spark: SparkSession) -> None:
-    """Lower the session's limit on the bytes of an Arrow batch to BATCH_BYTES."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    set_ = spark.conf.get(name).removesuffix("b")
+    """Lower the session's limit on the bytes of an Arrow batch to BATCH_BYTES; plans read it when they run, so the caller restores it (``own_batches``)."""
+    set_ = spark.conf.get(_BATCH).removesuffix("b")
     if not set_.isdigit() or int(set_) > BATCH_BYTES:
-        spark.conf.set(name, BATCH_BYTES)
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+@contextmanager
+def own_batches(spark: SparkSession) -> Iterator[None]:
+    """Whatever is set inside, the session has its own limit again afterwards."""
+    before = spark.conf.get(_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def fold_case(text: Column) -> Column:
