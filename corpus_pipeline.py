@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import bpe, decontam, nearjaccard, quality, secrets
-from chronoloom.llm.common import light_batches, shared_folder
+from chronoloom.llm.common import light_batches, own_batches, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; the folders of the stages before it are removed once they are read."""
+    """The last stage's rows; the folders of the stages before it are removed once they are read, and the session's settings are as before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
+        with own_batches(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
         if k:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top}/{k - 1}")
