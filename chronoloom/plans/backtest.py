@@ -163,6 +163,80 @@ def panel_cv(df: DataFrame, by: Cols, target: str, horizon: int, windows: int, s
 
 
 
+def _scaled_ridge(x: np.ndarray, y: np.ndarray, penalty: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Rows to predictions of all columns of ``y``; the scaler is part of the fit."""
+    m, s = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+    z = np.c_[np.ones(len(x)), (x - m) / s]
+    w = np.linalg.solve(z.T @ z + penalty * np.eye(z.shape[1]), z.T @ y)
+    return lambda new: np.r_[1.0, (new - m) / s] @ w
+
+
+def method_kernel(method: str, y: np.ndarray, x: np.ndarray, new: np.ndarray, steps: Sequence[int], penalty: float = 1e-6) -> np.ndarray:
+    """Predictions of the first column of ``y`` for the rows ``new`` (exogenous, of the horizon), by one of the seven strategies.
+
+    ``y``: the endogenous columns of the history, the target first; ``x``: its exogenous columns. The U methods get one
+    endogenous column. Direct methods learn every step of the horizon from the lags and exogenous values of its first row; recursive
+    ones learn one step and feed predictions back: of all endogenous columns in MSMR, of the target alone in MSMDR,
+    where the others stay at their last value. With too few rows to learn from the predictions are NaN.
+    """
+    h, k, p = len(new), max(steps, default=0), x.shape[1]
+    none = np.full(h, np.nan)
+    if not h:
+        return none
+    if method == "USMDO":
+        if len(y) <= p + 1:
+            return none
+        model = _scaled_ridge(x, y[:, :1], penalty)
+        return np.array([model(row)[0] for row in new])
+    lags = lambda held, t: [held[t - s, c] for c in range(y.shape[1]) for s in steps]
+    direct = method in ("USMD", "MSMD")
+    last = len(y) - (h - 1 if direct else 0)
+    if last - k <= y.shape[1] * len(steps) + p + 1:
+        return none
+    rows = np.column_stack([y[k - s : last - s, c] for c in range(y.shape[1]) for s in steps] + [x[k:last, j] for j in range(p)])
+    if direct:
+        model = _scaled_ridge(rows, np.column_stack([y[k + j : last + j, 0] for j in range(h)]), penalty)
+        return model(np.r_[lags(y, len(y)), new[0]])
+    predicted = range(y.shape[1]) if method == "MSMR" else range(1)
+    model = _scaled_ridge(rows, y[k:, predicted], penalty)
+    held = np.vstack((y, np.empty((h, y.shape[1]))))
+    for t in range(len(y), len(y) + h):
+        held[t] = held[t - 1]
+        held[t, predicted] = model(np.r_[lags(held, t), new[t - len(y)]])
+    return held[len(y) :, 0]
+
+
+def _kernel_frame(pdf: pd.DataFrame, keys: Cols, method: str, target: str, endogenous: Cols, exogenous: Cols, steps: Sequence[int], penalty: float) -> pd.DataFrame:
+    pdf = pdf.sort_values("time", kind="stable")
+    train, test = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"]
+    own = [target] if method.startswith("U") else list(dict.fromkeys([target, *endogenous]))
+    p = method_kernel(method, train[own].to_numpy(float), train[list(exogenous)].to_numpy(float), test[list(exogenous)].to_numpy(float), steps, penalty)
+    return test[[*keys, "time"]].assign(step=np.arange(1, len(test) + 1, dtype=np.int32), y=test[target].astype(float), predict_value=p)
+
+
+def backtest_method(df: DataFrame, bounds: DataFrame, by: Cols, target: str, endogenous: Cols, exogenous: Cols, steps: Sequence[int], method: str, penalty: float = 1e-6) -> DataFrame:
+    """(by, window, time, step, y, predict_value): each window by the strategy ``method`` from its origin, one group a series and window.
+
+    Nothing of the test part is seen but its exogenous columns.
+    """
+    own = [target] if method.startswith("U") else list(dict.fromkeys([target, *endogenous]))
+    cols = list(dict.fromkeys([*own, *exogenous]))
+    rows = in_windows(df.select(*by, "time", *cols), bounds, by).na.drop(subset=cols)
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    made = lambda pdf: _kernel_frame(pdf, [*by, "window"], method, target, own, exogenous, steps, penalty)
+    return rows.groupBy(*by, "window").applyInPandas(made, f"{kinds}, window int, time {df.schema['time'].dataType.simpleString()}, step int, y double, predict_value double")
+
+
+def forecast_method(history: DataFrame, future: DataFrame, by: Cols, target: str, endogenous: Cols, exogenous: Cols, steps: Sequence[int], method: str, penalty: float = 1e-6) -> DataFrame:
+    """(by, time, step, predict_value): the same fit for each series on all its history, for the rows of ``future``; a series is one group."""
+    own = [target] if method.startswith("U") else list(dict.fromkeys([target, *endogenous]))
+    cols = list(exogenous)
+    past = history.select(*by, "time", *own, *cols).na.drop(subset=[*own, *cols]).withColumn("part", F.lit("train"))
+    ahead = future.select(*by, "time", *[F.lit(None).cast("double").alias(c) for c in own], *cols).withColumn("part", F.lit("test"))
+    kinds = ", ".join(f"`{c}` {history.schema[c].dataType.simpleString()}" for c in by)
+    made = lambda pdf: _kernel_frame(pdf, by, method, target, own, exogenous, steps, penalty).drop(columns="y")
+    return past.unionByName(ahead).groupBy(*by).applyInPandas(made, f"{kinds}, time {history.schema['time'].dataType.simpleString()}, step int, predict_value double")
+
 
 def backtest_recursive(df: DataFrame, bounds: DataFrame, by: Cols, target: str, exogenous: Cols, steps: Sequence[int], penalty: float = 1e-6) -> DataFrame:
     """(by, window, time, step, y, predict_value): from one origin a window, test values are never seen; lags come from earlier predictions."""

@@ -76,26 +76,30 @@ def create_features(cfg: ForecastConfig, df: DataFrame, by: Cols, endogenous: Co
 
 
 def run(cfg: ForecastConfig, bundle: dict[str, DataFrame], by: Cols = ("series_id",), time: str = "time", mode: str = "origin", windows_limit: int | None = None, purge: int = 0) -> RunResult:
-    """``mode``: ``origin`` predicts each window from its start only, ``one_step`` every row from true past values."""
+    """``mode``: ``origin`` predicts each window from its start only by the configured method, ``one_step`` every row from true past values.
+
+    The forecast and the windows in mode ``origin`` are the same fit, one model a series (``backtest.method_kernel``): the forecast's on all
+    of its history, a window's on its training part, so the scores are those of the method that forecasts.
+    """
     if mode not in ("origin", "one_step"):
         raise ValueError(f"unknown mode: {mode}")
     per_day = 1440 // freq_minutes(cfg.freq)
     horizon, length = cfg.predict_days * per_day, cfg.window_days * per_day
     history, endogenous, exogenous = process_history(cfg, bundle, by, time)
+    numeric = [c for c in endogenous if c not in cfg.categorical]
     predictions = scores = forecast = None
     if cfg.test:
         bounds = bt.window_bounds(history, by, length, horizon, windows_limit, purge)
-        if mode == "one_step" or cfg.method == "USMDO":
-            wide, features = create_features(cfg, history, by, [c for c in endogenous if c not in cfg.categorical], exogenous)
+        if mode == "one_step":
+            wide, features = create_features(cfg, history, by, numeric, exogenous)
             predictions = bt.backtest(wide, bounds, by, "y", features)
         else:
-            predictions = bt.backtest_recursive(history, bounds, by, "y", exogenous, cfg.lags)
+            predictions = bt.backtest_method(history, bounds, by, "y", numeric, exogenous, cfg.lags, cfg.method)
         each = bt.scores(predictions.na.drop(subset=["predict_value"]), [*by, "window"]).withColumn("window", F.col("window").cast("string"))
         names = [c for c in each.columns if c not in (*by, "window")]
         mean = each.groupBy(*by).agg(*[F.avg(c).alias(c) for c in names]).withColumn("window", F.lit("mean"))
         scores = each.unionByName(mean)
     if cfg.forecast:
         future = process_future(cfg, history, bundle, by, horizon)
-        numeric = [c for c in endogenous if c not in cfg.categorical]
-        forecast = strategies.forecast(cfg.method, history, future, by, "y", numeric, strategies.available(future, exogenous), cfg.lags, horizon)
+        forecast = bt.forecast_method(history, future, by, "y", numeric, strategies.available(future, exogenous), cfg.lags, cfg.method)
     return RunResult(history, endogenous, exogenous, predictions, scores, forecast)

@@ -282,15 +282,46 @@ ef AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN {{'y': y, 'n': n, 'p':
   FROM ep WINDOW a AS (PARTITION BY sid ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY sid ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 v AS (SELECT sid, time, p AS i, coalesce(y, l.y + (r.y - l.y) * (p - l.p) / (r.p - l.p)) AS y, coalesce(n, l.n + (r.n - l.n) * (p - l.p) / (r.p - l.p)) AS n, hour(time) AS x1, (dayofweek(time) + 6) % 7 AS x2, count(*) OVER (PARTITION BY sid) AS m FROM ef)"""
 
-_exo = doubles(["1", *[f"lag({c}, {k}) OVER o" for c in ("y", "n") for k in LAGS], "x1", "x2"])
-_exo_held = doubles(["1", *[f"z.{c}[{25 - k}]" for c in ("ys", "ns") for k in LAGS], "hour(t)", "(dayofweek(t) + 6) % 7"])
-SQL["run_forecast"] = f"""WITH RECURSIVE {EVENTS}, l AS (SELECT {_exo} AS x, [y, n] AS y, i FROM v WINDOW o AS (PARTITION BY sid ORDER BY i)), r AS (SELECT 0 AS k, x, y FROM l WHERE i > 24), {solve("s", "r", 9, 2)},
+_both = [f"lag({c}, {k}) OVER o" for c in ("y", "n") for k in LAGS]
+
+
+def _scales(features: int, keys: str = "k") -> str:
+    """m and d of each key's a[1..features]."""
+    return f"{doubles([f'avg(a[{j}])' for j in range(1, features + 1)])} AS m, list_transform({doubles([f'stddev_pop(a[{j}])' for j in range(1, features + 1)])}, lambda e: CASE WHEN e > 0 THEN e ELSE 1 END) AS d FROM b GROUP BY {keys}"
+
+
+def _scaled(items: Sequence[str]) -> str:
+    return doubles(["1", *[f"({x} - q.m[{j}]) / q.d[{j}]" for j, x in enumerate(items, 1)]])
+
+
+_exo_held = _scaled([*[f"z.{c}[{25 - k}]" for c in ("ys", "ns") for k in LAGS], "hour(z.t)", "((dayofweek(z.t) + 6) % 7)"])
+SQL["run_forecast"] = f"""WITH RECURSIVE {EVENTS}, b AS (SELECT * FROM (SELECT sid AS k, {doubles([*_both, "x1", "x2"])} AS a, [y, n] AS y, i FROM v WINDOW o AS (PARTITION BY sid ORDER BY i)) WHERE i > 24), q AS (SELECT k, {_scales(8)}),
+r AS (SELECT b.k, {_scaled([f"a[{j}]" for j in range(1, 9)])} AS x, b.y FROM b JOIN q ON q.k = b.k), {solve("s", "r", 9, 2, "1e-6")},
 z AS (SELECT sid, 0 AS step, max(time) AS t, list(y ORDER BY i)[-24:] AS ys, list(n ORDER BY i)[-24:] AS ns FROM v GROUP BY sid
   UNION ALL SELECT sid, step, t, list_append(ys[2:], {dot("wy", "x")}), list_append(ns[2:], {dot("wn", "x")}) FROM (SELECT z.sid, z.step, z.t, z.ys, z.ns, {column("s.w")} AS wy, {column("s.w", 2)} AS wn, {_exo_held} AS x
-    FROM (SELECT sid, step + 1 AS step, t + INTERVAL 1 HOUR AS t, ys, ns FROM z WHERE step < 24) z, s))
+    FROM (SELECT sid, step + 1 AS step, t + INTERVAL 1 HOUR AS t, ys, ns FROM z WHERE step < 24) z JOIN s ON s.k = z.sid JOIN q ON q.k = z.sid))
 ---
 SELECT sid, t AS time, step, ys[24] AS predict_value FROM z WHERE step > 0"""
 
+_windows = """w AS (SELECT sid, w, m - 24 * w AS t, greatest(m - 24 * w - 312, 0) AS f FROM (SELECT sid, m, unnest(range(1, 1 + greatest((m - 312) // 24, 0))) AS w FROM (SELECT DISTINCT sid, m FROM v)))"""
+_scored = """o AS (SELECT z.sid, CAST(z.w AS VARCHAR) AS "window", avg(abs(v.y - z.p)) AS mae, sqrt(avg((v.y - z.p) ** 2)) AS rmse, 1 - avg((v.y - z.p) ** 2) / var_pop(v.y) AS r2 FROM e z JOIN v ON v.sid = z.sid AND v.i = z.i GROUP BY z.sid, z.w)
+---
+SELECT * FROM o UNION ALL SELECT sid, 'mean', avg(mae), avg(rmse), avg(r2) FROM o GROUP BY sid"""
+_msmr = _scaled([*[f"z.{c}[{25 - k}]" for c in ("ys", "ns") for k in LAGS], "v.x1", "v.x2"])
+SQL["run_scores_msmr"] = f"""WITH RECURSIVE {EVENTS}, {_windows},
+c AS (SELECT w.sid || '/' || w.w AS k, w.sid, w.w, w.f, w.t, v.i, v.y, v.n, {doubles([*_both, "x1", "x2"])} AS a FROM w JOIN v ON v.sid = w.sid AND v.i > w.f AND v.i <= w.t WINDOW o AS (PARTITION BY w.sid, w.w ORDER BY v.i)),
+b AS (SELECT * FROM c WHERE i > f + 24), q AS (SELECT k, {_scales(8)}),
+r AS (SELECT b.k, {_scaled([f"a[{j}]" for j in range(1, 9)])} AS x, [b.y, b.n] AS y FROM b JOIN q ON q.k = b.k), {solve("s", "r", 9, 2, "1e-6")},
+z AS (SELECT k, sid, w, t AS i, list(y ORDER BY i)[-24:] AS ys, list(n ORDER BY i)[-24:] AS ns, t + 24 AS e FROM c GROUP BY k, sid, w, t
+  UNION ALL SELECT z.k, z.sid, z.w, v.i, list_append(z.ys[2:], {dot(column("s.w"), _msmr)}), list_append(z.ns[2:], {dot(column("s.w", 2), _msmr)}), z.e FROM z JOIN v ON v.sid = z.sid AND v.i = z.i + 1 JOIN s ON s.k = z.k JOIN q ON q.k = z.k WHERE z.i < z.e),
+e AS (SELECT sid, w, i, ys[24] AS p FROM z WHERE i > e - 24), {_scored}"""
+
+SQL["run_scores_usmd"] = f"""WITH RECURSIVE {EVENTS}, {_windows},
+c AS (SELECT w.sid || '/' || w.w AS k, w.sid, w.w, w.f, w.t, v.i, {doubles([*[f"lag(y, {k}) OVER o" for k in LAGS], "x1", "x2"])} AS a, {_leads(24)} AS y FROM w JOIN v ON v.sid = w.sid AND v.i > w.f AND v.i <= w.t + 1 WINDOW o AS (PARTITION BY w.sid, w.w ORDER BY v.i)),
+b AS (SELECT * FROM c WHERE i > f + 24 AND i <= t - 23), q AS (SELECT k, {_scales(5)}),
+r AS (SELECT b.k, {_scaled([f"a[{j}]" for j in range(1, 6)])} AS x, b.y FROM b JOIN q ON q.k = b.k), {solve("s", "r", 6, 24, "1e-6")},
+e AS (SELECT sid, w, t + h AS i, {dot("list_transform(sw, lambda r: r[h])", "x")} AS p FROM (SELECT c.sid, c.w, c.t, s.w AS sw, {_scaled([f"c.a[{j}]" for j in range(1, 6)])} AS x, unnest(range(1, 25)) AS h FROM c JOIN s ON s.k = c.k JOIN q ON q.k = c.k WHERE c.i = c.t + 1)), {_scored}"""
+
 _train = [f"lag(y, {k}) OVER o" for k in LAGS]
 _std = doubles(["1", *[f"(a[{j}] - q.m[{j}]) / q.d[{j}]" for j in range(1, 6)]])
 _step = doubles(["1", *[f"(z.ys[{25 - k}] - q.m[{j}]) / q.d[{j}]" for j, k in enumerate(LAGS, 1)], "(v.x1 - q.m[4]) / q.d[4]", "(v.x2 - q.m[5]) / q.d[5]"])

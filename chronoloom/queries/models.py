@@ -545,6 +545,16 @@ def run_scores(spark, d):
     return _run(spark, d, "USMR").scores
 
 
+@query("run_scores_msmr", "sid window mae:d rmse:d r2:d", SQL["run_scores_msmr"])
+def run_scores_msmr(spark, d):
+    return _run(spark, d, "MSMR").scores
+
+
+@query("run_scores_usmd", "sid window mae:d rmse:d r2:d", SQL["run_scores_usmd"])
+def run_scores_usmd(spark, d):
+    return _run(spark, d, "USMD").scores
+
+
 @query("run_forecast", "sid time step:i predict_value:d", SQL["run_forecast"])
 def run_forecast(spark, d):
     return _run(spark, d, "MSMR").forecast

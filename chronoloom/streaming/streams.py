@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronoloom.operators.aggregates import limits
@@ -58,10 +59,92 @@ def point_check(stream: DataFrame, key: str, time: str, column: str, window: int
     return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {time} {t}, {column} double, smooth double, is_anomaly boolean", "past array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str, spark: SparkSession, folder: str | None = None) -> DataFrame:
+class RecursiveRegression(StatefulProcessor):
+    """Recursive least squares in typed state: every observation is forecast by the model so far and then updates it.
+
+    State is one row a series: the weights (intercept first), their covariance (row by row), the number of observations
+    and the time of the last one. In event time a timer closes a series when the watermark is ``idle`` milliseconds past its
+    last observation: a row without a target reports its final weights, and the state goes. In processing time the
+    state lives for ``idle`` milliseconds after its last update.
+    """
+
+    def __init__(self, key: str, time: str, target: str, features: Sequence[str], forgetting: float, spread: float, idle: int, event_time: bool):
+        self.key, self.time, self.target, self.features = key, time, target, list(features)
+        self.forgetting, self.spread, self.idle, self.event_time = forgetting, spread, idle, event_time
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("model", "w array<double>, p array<double>, n bigint, last bigint", None if self.event_time else self.idle)
+
+    def _rows(self, key, rows: list[tuple]) -> pd.DataFrame:
+        got = pd.DataFrame(rows, columns=[self.time, self.target, "predict_value", "n", "weights", "closed"])
+        got[self.time] = pd.to_datetime(got[self.time])
+        got.insert(0, self.key, key[0])
+        return got
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        k = len(self.features) + 1
+        if self.state.exists():
+            w, p, n, last = self.state.get()
+            w, p = np.array(w), np.array(p).reshape(k, k)
+        else:
+            w, p, n, last = np.zeros(k), self.spread * np.eye(k), 0, None
+        for pdf in rows:
+            pdf = pdf.sort_values([self.time, self.target, *self.features], kind="stable")
+            times, y = pdf[self.time].to_numpy("datetime64[ms]").astype("int64"), pdf[self.target].to_numpy(float)
+            x = np.column_stack([np.ones(len(pdf)), *[pdf[c].to_numpy(float) for c in self.features]])
+            out = []
+            for t, at, xi, yi in zip(pdf[self.time], times, x, y, strict=True):
+                if not (np.isfinite(xi).all() and np.isfinite(yi)):
+                    continue
+                guess = float(w @ xi) if n else None
+                px = p @ xi
+                gain = px / (self.forgetting + xi @ px)
+                w = w + gain * (yi - w @ xi)
+                p = (p - np.outer(gain, px)) / self.forgetting
+                p = (p + p.T) / 2
+                n, last = n + 1, int(at) if last is None else max(last, int(at))
+                out.append((t, float(yi), guess, n, w.tolist(), False))
+            if out:
+                yield self._rows(key, out)
+        if n:
+            self.state.update((w.tolist(), p.ravel().tolist(), int(n), last))
+            if self.event_time:
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(last + self.idle)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            w, _, n, last = self.state.get()
+            self.state.clear()
+            yield self._rows(key, [(pd.Timestamp(last, unit="ms"), None, None, int(n), list(w), True)])
+
+
+def online_regression(stream: DataFrame, key: str, time: str, target: str, features: Sequence[str], delay: str = "1 hour", idle_ms: int = 86_400_000, forgetting: float = 1.0, spread: float = 1.0, event_time: bool = True) -> DataFrame:
+    """(key, time, target, predict_value, n, weights, closed): a row for each observation, from a model of its series that it then updates.
+
+    With ``forgetting`` 1 the weights are those of ridge regression with penalty 1 / ``spread`` over all observations so far, in whatever order
+    they came. Observations behind the watermark are late and leave no trace; those with missing or infinite numbers neither.
+    Runs in append mode and needs STATE as settings (``run_to_end(..., settings=STATE)``). In processing time a stream always has another batch to
+    run, so it is started and stopped by hand.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+    rows = with_watermark(stream, time, delay).select(key, time, F.col(target).cast("double").alias(target), *[F.col(c).cast("double").alias(c) for c in features])
+    made = RecursiveRegression(key, time, target, features, forgetting, spread, idle_ms, event_time)
+    schema = f"`{key}` {kind}, `{time}` timestamp, `{target}` double, predict_value double, n bigint, weights array<double>, closed boolean"
+    return rows.groupBy(key).transformWithStateInPandas(made, schema, "append", "eventTime" if event_time else "processingTime")
+
+
+#: What typed state needs of the session.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def run_to_end(stream: DataFrame, name: str, mode: str, spark: SparkSession, folder: str | None = None, settings: dict[str, str] | None = None) -> DataFrame:
     """All available input through a query whose micro-batches are written as Parquet under ``folder`` (by default the session's shared one).
 
     A batch that is run again overwrites its own rows. In complete mode the last batch is the result, otherwise all of them are.
+    ``settings`` hold while the stream runs; the session has its own again afterwards.
     """
     top = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     done: list[int] = []
@@ -70,7 +153,14 @@ def run_to_end(stream: DataFrame, name: str, mode: str, spark: SparkSession, fol
         batch.write.mode("overwrite").parquet(f"{top}/rows/{k}")
         done.append(k)
 
-    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not done:
         return spark.createDataFrame([], stream.schema)
     picked = done[-1:] if mode == "complete" else sorted(set(done))
