@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.queries import features, models, online, preparation, trees  # noqa: F401  they register themselves
+from chronoloom.queries import features, models, online, preparation, trees, vectors  # noqa: F401  they register themselves
 from chronoloom.queries.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
