@@ -528,6 +528,32 @@ class Boosting:
         return Blocks(durable(data.df.mapInArrow(run, _BLOCK)), data.bins, targets)
 
 
+def boost_arrays(x: np.ndarray, y: np.ndarray, new: np.ndarray, learner: Boosting) -> np.ndarray:
+    """The same boosting inside one task, for the rows of a window or fold: predictions (rows of ``new`` x columns of ``y``) after ``learner.rounds`` rounds.
+
+    Bins come from the exact quantiles of ``x``; rows aren't sampled and leaves not renewed, so the objective is ``rmse``.
+    """
+    at = [k / learner.bins for k in range(1, learner.bins)] + [1.0]
+    held = [c[~np.isnan(c)] for c in x.T]
+    bins = Bins([str(k) for k in range(x.shape[1])], [np.unique(np.quantile(c, at, method="inverted_cdf"))[:-1] if len(c) else np.zeros(0) for c in held])
+    codes, ahead = bins.codes(list(x.T)), bins.codes(list(new.T))
+    start, ones, penalty = y.mean(0), np.ones(len(y)), Penalty(learner.l1, learner.l2, learner.rows)
+    m, out = np.tile(start, (len(y), 1)), np.tile(start, (len(new), 1))
+    for k in range(learner.rounds):
+        grower, features = Grower(learner.leaves, learner.depth), learner._features(x.shape[1], k)
+        sums = np.column_stack((m - y, ones, ones))
+        while names := grower.wanted():
+            tree, node = grower.ahead(names)
+            hist = _histogram(codes, _slots(tree, node, names)[tree.nodes(codes)], sums, len(names), features, bins.width)
+            for name, h in zip(names, hist, strict=True):
+                grower.put(name, h, penalty, features)
+        if grower.known.get("") is None:
+            break
+        grown = grower.grown(penalty, learner.rate)
+        m, out = m + grown.values(codes), out + grown.values(ahead)
+    return out
+
+
 # Extremely randomised trees --------------------------------------------------------------
 
 
