@@ -60,9 +60,9 @@ def threshold(spark, d):
     return ad.beyond(table(spark, d, "events"), "value", 1, 150)
 
 
-@query("window_alarm", "event_type ts mean:d var:d alarm", "SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) AS ts, avg(x) AS mean, var_pop(x) AS var, avg(x) < 20 OR avg(x) > 80 OR var_pop(x) > 2000 AS alarm FROM (SELECT event_type, ts, value / 3 AS x FROM events) GROUP BY 1, 2")
+@query("window_alarm", "event_type ts mean:d var:d alarm", "SELECT event_type, time_bucket(INTERVAL 30 MINUTE, ts) AS ts, avg(value) AS mean, var_pop(value) AS var, avg(value) < 60 OR avg(value) > 240 OR var_pop(value) > 18000 AS alarm FROM events GROUP BY 1, 2")
 def window_alarm(spark, d):
-    return ad.window_alarm(table(spark, d, "events").withColumn("x", F.col("value") / 3), ["event_type"], "ts", "x", "30 minutes", 20, 80, 2000)
+    return ad.window_alarm(table(spark, d, "events"), ["event_type"], "ts", "value", "30 minutes", 60, 240, 18_000)
 
 
 @query("corr_alarm", "sid corr:d alarm", f"WITH {SHIPPED}\n---\nSELECT sid, corr(disc, rev) AS corr, corr(disc, rev) < 0.5 AS alarm FROM s GROUP BY sid")
@@ -508,15 +508,15 @@ def _stream(spark, d, make, mode):
     return streams.run_to_end(make(source), "events", mode, spark)
 
 
-@query("stream_resample", "ts event_type y:d n:l", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, event_type, avg(value / 3) AS y, count(*) AS n FROM events GROUP BY 1, 2")
+@query("stream_resample", "ts event_type y:d n:l", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, event_type, avg(value) AS y, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_resample(spark, d):
-    got = _stream(spark, d, lambda s: streams.resample(s.withColumn("v", F.col("value") / 3), "ts", "1 hour", "v", ("event_type",)), "complete")
+    got = _stream(spark, d, lambda s: streams.resample(s, "ts", "1 hour", "value", ("event_type",)), "complete")
     return got.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("stream_window_alarm", "ts mean:d alarm", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS ts, avg(value / 3) AS mean, avg(value / 3) < 10 OR avg(value / 3) > 20 OR var_pop(value / 3) > 300 AS alarm FROM events GROUP BY 1")
+@query("stream_window_alarm", "ts mean:d alarm", "SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS ts, avg(value) AS mean, avg(value) < 30 OR avg(value) > 60 OR var_pop(value) > 2700 AS alarm FROM events GROUP BY 1")
 def stream_window_alarm(spark, d):
-    got = _stream(spark, d, lambda s: streams.window_alarm(s.withColumn("v", F.col("value") / 3), "ts", "v", 10, 20, 300), "complete")
+    got = _stream(spark, d, lambda s: streams.window_alarm(s, "ts", "value", 30, 60, 2700), "complete")
     return got.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
