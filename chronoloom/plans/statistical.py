@@ -307,6 +307,8 @@ def factor_impute(df: DataFrame, by: Cols, column: str, rank: int = 3, lag: int
     ``by`` names the panel and then the series; a panel is one (bounded) group.
     """
     *panel, sid = by
+    if not panel:
+        raise ValueError("factor_impute needs a panel column before the series")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot_table(index=sid, columns="time", values=column, dropna=False)
@@ -329,5 +331,4 @@ def factor_impute(df: DataFrame, by: Cols, column: str, rank: int = 3, lag: int
         return pdf.merge(full, on=[sid, "time"], how="left")
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    grouped = df.groupBy(*panel) if panel else df.groupBy(F.lit(0))
-    return grouped.applyInPandas(run, f"{ddl}, imputed double")
+    return df.groupBy(*panel).applyInPandas(run, f"{ddl}, imputed double")

@@ -84,6 +84,12 @@ def shipped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("sid"), day).agg(F.sum("l_quantity").alias("qty"), rev.alias("rev"), F.avg("l_discount").alias("disc"))
 
 
+def supplied(spark: SparkSession, d: str) -> DataFrame:
+    """sid (supplier), time, y: quantity by ship day, for the days that have any; series grow in number with the tables."""
+    day = F.window("l_shipdate", "1 day").getField("start").alias("time")
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sid"), day).agg(F.sum("l_quantity").alias("y"))
+
+
 #: The same series as common table expressions.
 HOURLY = "h AS (SELECT 'all' AS sid, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS time, avg(value) AS y, count(*) AS n FROM events GROUP BY 2)"
 TYPED = """ta AS (SELECT event_type AS sid, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS time, avg(value) AS y FROM events GROUP BY 1, 2),
@@ -91,6 +97,7 @@ tg AS (SELECT sid, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS time FROM (
 ty AS (SELECT tg.sid, tg.time, ta.y FROM tg LEFT JOIN ta ON tg.sid = ta.sid AND tg.time = ta.time)"""
 DAILY = "d AS (SELECT 'all' AS sid, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS time, sum(o_totalprice) / 1000 AS y, count(*) AS n FROM orders GROUP BY 2)"
 SHIPPED = "s AS (SELECT l_returnflag AS sid, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS time, sum(l_quantity) AS qty, sum(l_extendedprice * (1 - l_discount)) / 1000 AS rev, avg(l_discount) AS disc FROM lineitem GROUP BY 1, 2)"
+SUPPLIED = "h AS (SELECT l_suppkey AS sid, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS time, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2)"
 
 BY, ORDER = ["sid"], ["time"]
 W = "PARTITION BY sid ORDER BY time"

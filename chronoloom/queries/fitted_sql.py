@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from chronoloom.queries.base import HOURLY, SHIPPED, TYPED, W
+from chronoloom.queries.base import HOURLY, SHIPPED, SUPPLIED, TYPED, W
 from chronoloom.queries.preparation import INTERPOLATE
 
 # Forecasts: the last day of the hourly series is the future.
@@ -98,17 +98,19 @@ o AS (SELECT g.k AS w, g.y[1] AS y, {dot(column("s.w"), "g.x")} AS p FROM g JOIN
 ---
 SELECT w AS "window", avg(abs(y - p)) AS mae, sqrt(avg((y - p) ** 2)) AS rmse, 1 - avg((y - p) ** 2) / var_pop(y) AS r2 FROM o GROUP BY w"""
 
-SQL["walk_forward_refit"] = f"""WITH RECURSIVE {HOURLY}, p AS (SELECT time, {doubles(["1", f"lag(y, 1) OVER ({W})", f"lag(y, 2) OVER ({W})"])} AS x, [y] AS y, row_number() OVER ({W}) AS i FROM h),
-r AS (SELECT a.i AS k, b.x, b.y FROM p a JOIN p b ON b.i < a.i WHERE a.i > 100 AND b.i > 2), {solve("s", "r", 3, 1, "1e-6")}
+SQL["walk_forward_refit"] = f"""WITH RECURSIVE {SUPPLIED}, p AS (SELECT sid, time, {doubles(["1", f"lag(y, 1) OVER ({W})", f"lag(y, 2) OVER ({W})"])} AS x, y, row_number() OVER ({W}) AS i FROM h),
+g AS (SELECT sid, i, a, b, sum(x[a] * list_append(x, y)[b]) OVER (PARTITION BY sid, a, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + CASE WHEN a = b THEN 1e-6 ELSE 0 END AS v FROM p, (SELECT unnest([1, 2, 3]) AS a), (SELECT unnest([1, 2, 3, 4]) AS b) WHERE i > 2),
+e AS (SELECT sid, i, 1 AS s, list(r ORDER BY a) AS m FROM (SELECT sid, i, a, list(v ORDER BY b) AS r FROM g WHERE i > 100 GROUP BY sid, i, a) GROUP BY sid, i
+  UNION ALL SELECT sid, i, s + 1, list_transform(m, lambda r, k: CASE WHEN k = s THEN list_transform(r, lambda v: v / r[s]) ELSE list_transform(r, lambda v, j: v - m[s][j] * r[s] / m[s][s]) END) FROM e WHERE s <= 3)
 ---
-SELECT time, {dot(column("w"), "x")} AS predict_value FROM p LEFT JOIN s ON s.k = p.i"""
+SELECT p.sid, p.time, {dot("list_transform(m, lambda r: r[4])", "x")} AS predict_value FROM p LEFT JOIN e ON e.sid = p.sid AND e.i = p.i AND e.s = 4"""
 
-SQL["windowed_forecast"] = f"""WITH RECURSIVE {HOURLY}, p AS (SELECT time, y, list_concat([1.0::DOUBLE], list(y) OVER ({W} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)) AS x, row_number() OVER ({W}) AS i FROM h),
-r AS (SELECT 0 AS k, x, [y] AS y FROM p WHERE i > 24), {solve("s", "r", 25, 1)},
-z AS (SELECT i, 0 AS step, x[2:] AS ys, NULL::DOUBLE AS v FROM p WHERE i > 24 AND (i - 25) % 12 = 0
-  UNION ALL SELECT i, step + 1, list_append(ys[2:], {dot(column("s.w"), "list_concat([1.0::DOUBLE], ys)")}), {dot(column("s.w"), "list_concat([1.0::DOUBLE], ys)")} FROM z, s WHERE step < 12)
+SQL["windowed_forecast"] = f"""WITH RECURSIVE {SUPPLIED}, p AS (SELECT sid, time, y, list_concat([1.0::DOUBLE], list(y) OVER ({W} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)) AS x, row_number() OVER ({W}) AS i FROM h),
+r AS (SELECT sid AS k, x, [y] AS y FROM p WHERE i > 24), {solve("s", "r", 25, 1)},
+z AS (SELECT sid, i, 0 AS step, x[2:] AS ys, NULL::DOUBLE AS v FROM p WHERE i > 24 AND (i - 25) % 12 = 0
+  UNION ALL SELECT sid, i, step + 1, list_append(ys[2:], {dot(column("s.w"), "list_concat([1.0::DOUBLE], ys)")}), {dot(column("s.w"), "list_concat([1.0::DOUBLE], ys)")} FROM z JOIN s ON s.k = z.sid WHERE step < 12)
 ---
-SELECT p.time, z.v AS predict_value FROM p LEFT JOIN z ON z.step > 0 AND z.i + z.step - 1 = p.i"""
+SELECT p.sid, p.time, z.v AS predict_value FROM p LEFT JOIN z ON z.sid = p.sid AND z.step > 0 AND z.i + z.step - 1 = p.i"""
 
 SQL["ses_best"] = f"""WITH RECURSIVE {TYPED}, p AS (SELECT sid, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY sid) AS m, y FROM ty WHERE y IS NOT NULL),
 z AS (SELECT sid, 1::BIGINT AS i, a / 20::DOUBLE AS alpha, y AS l, 0.0::DOUBLE AS e, m FROM p, (SELECT unnest(range(1, 20)) AS a) WHERE i = 1
@@ -184,12 +186,12 @@ e AS (SELECT c.sid, avg(abs(v.y - c.a)) AS naive, avg(abs(v.y - q.y)) AS seasona
 ---
 SELECT sid, naive, seasonal_naive, CASE WHEN historic_mean <= least(naive, seasonal_naive) THEN 'historic_mean' WHEN naive <= seasonal_naive THEN 'naive' ELSE 'seasonal_naive' END AS best_model FROM e"""
 
-SQL["shifting_band"] = f"""WITH RECURSIVE {HOURLY}, p AS (SELECT time, y, row_number() OVER ({W}) AS i FROM h),
-z AS (SELECT 48::BIGINT AS i, list(y ORDER BY i) AS ys, NULL::DOUBLE AS s, false AS odd FROM p WHERE i <= 48
-  UNION ALL SELECT i, list_append(ys[2:], CASE WHEN odd THEN s ELSE y END), s, odd FROM (SELECT *, abs(y - s) > 2 * list_stddev_pop(ys) AS odd
-  FROM (SELECT p.i, p.y, ys, list_avg(ys[25:]) + (ys[25] + ys[1] - list_avg(ys[1:24]) - list_avg(ys[25:])) / 2 AS s FROM z JOIN p ON p.i = z.i + 1)))
+SQL["shifting_band"] = f"""WITH RECURSIVE {SUPPLIED}, p AS (SELECT sid, time, y, row_number() OVER ({W}) AS i FROM h),
+z AS (SELECT sid, 48::BIGINT AS i, list(y ORDER BY i) AS ys, NULL::DOUBLE AS s, false AS odd FROM p WHERE i <= 48 GROUP BY sid
+  UNION ALL SELECT sid, i, list_append(ys[2:], CASE WHEN odd THEN s ELSE y END), s, odd FROM (SELECT *, abs(y - s) > 2 * list_stddev_pop(ys) AS odd
+  FROM (SELECT p.sid, p.i, p.y, ys, list_avg(ys[25:]) + (ys[25] + ys[1] - list_avg(ys[1:24]) - list_avg(ys[25:])) / 2 AS s FROM z JOIN p ON p.sid = z.sid AND p.i = z.i + 1)))
 ---
-SELECT p.time, z.s AS smooth, coalesce(z.odd, false) AS is_anomaly FROM p LEFT JOIN z ON z.i = p.i"""
+SELECT p.sid, p.time, z.s AS smooth, coalesce(z.odd, false) AS is_anomaly FROM p LEFT JOIN z ON z.sid = p.sid AND z.i = p.i"""
 
 ACF = f"{HOURLY}, m AS (SELECT *, avg(y) OVER () AS m FROM h), l AS (SELECT y, m, k, lag(y, k) OVER (PARTITION BY k ORDER BY time) AS l FROM m, (SELECT unnest(range(1, 7)) AS k)), a AS (SELECT list(a ORDER BY k) AS a FROM (SELECT k, sum((y - m) * (l - m)) / sum((y - m) * (y - m)) AS a FROM l GROUP BY k))"
 SQL["pacf"] = f"""WITH RECURSIVE {ACF}, z AS (SELECT 0 AS k, []::DOUBLE[] AS f FROM a
@@ -205,14 +207,15 @@ z AS (SELECT 0 AS step, arg_max(y, time) AS v FROM p UNION ALL SELECT step + 1,
 ---
 SELECT f.time, f.step, z.v AS predict_value, z.v - d.d AS low, z.v + d.d AS high FROM z JOIN f ON z.step = f.step, d"""
 
-SQL["lowess"] = f"""WITH {HOURLY}, p AS (SELECT time, y, row_number() OVER (ORDER BY time) AS t, count(*) OVER () AS n FROM h),
-k AS (SELECT a.t, (list(abs(b.t - a.t) ORDER BY abs(b.t - a.t)))[least(greatest(3, ceil(0.1::DOUBLE * any_value(a.n))), any_value(a.n))::BIGINT] AS h FROM p a, p b GROUP BY a.t),
-w AS (SELECT a.t, b.t - a.t AS x, b.y, greatest(0, 1 - (abs(b.t - a.t) / k.h / 1.0001::DOUBLE) ** 3) ** 3 AS w FROM p a JOIN k ON k.t = a.t JOIN p b ON abs(b.t - a.t) <= k.h),
-m AS (SELECT t, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM w GROUP BY t),
-f AS (SELECT w.t, any_value(my) - any_value(mx) * sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) ** 2) AS s FROM w JOIN m ON m.t = w.t GROUP BY w.t),
-o AS (SELECT time, s, 1.96 * stddev_pop(y - s) OVER () AS d FROM p JOIN f ON f.t = p.t)
+SQL["lowess"] = f"""WITH {SUPPLIED}, p AS (SELECT sid, time, y, row_number() OVER ({W}) AS t, count(*) OVER (PARTITION BY sid) AS n FROM h),
+k AS (SELECT sid, t, n, least(greatest(3, ceil(0.1::DOUBLE * n)), n)::BIGINT AS m FROM p),
+q AS (SELECT sid, t, greatest((m - 1 + (m - 1) % 2) // 2, m - t, m - 1 - (n - t)) AS h FROM k),
+w AS (SELECT a.sid, a.t, b.t - a.t AS x, b.y, greatest(0, 1 - (abs(b.t - a.t) / q.h / 1.0001::DOUBLE) ** 3) ** 3 AS w FROM p a JOIN q ON q.sid = a.sid AND q.t = a.t JOIN p b ON b.sid = a.sid AND b.t BETWEEN a.t - q.h AND a.t + q.h),
+m AS (SELECT sid, t, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM w GROUP BY sid, t),
+f AS (SELECT w.sid, w.t, any_value(my) - any_value(mx) * sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) ** 2) AS s FROM w JOIN m ON m.sid = w.sid AND m.t = w.t GROUP BY w.sid, w.t),
+o AS (SELECT p.sid, time, s, 1.96 * stddev_pop(y - s) OVER (PARTITION BY p.sid) AS d FROM p JOIN f ON f.sid = p.sid AND f.t = p.t)
 ---
-SELECT time, s AS smooth, s - d AS low, s + d AS high FROM o"""
+SELECT sid, time, s AS smooth, s - d AS low, s + d AS high FROM o"""
 
 # State: level and trend with their covariances before (x, p) and after (u, s) each observation; the smoother runs back over them.
 SQL["kalman"] = f"""WITH RECURSIVE {TYPED}, v AS (SELECT sid, time, y, row_number() OVER ({W}) AS i, count(*) OVER (PARTITION BY sid) AS n, first_value(y IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS y0 FROM ty),

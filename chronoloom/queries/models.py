@@ -15,7 +15,7 @@ from chronoloom.plans import learners
 from chronoloom.plans import statistical as sta
 from chronoloom.plans import strategies as fc
 from chronoloom.functions import calendar as cal
-from chronoloom.queries.base import BY, DAILY, HOURLY, ORDER, SHIPPED, TYPED, W, daily, hourly, query, shipped, table, typed
+from chronoloom.queries.base import BY, DAILY, HOURLY, ORDER, SHIPPED, TYPED, W, daily, hourly, query, shipped, supplied, table, typed
 from chronoloom.queries.fitted_sql import CUT, PAST, SQL, searched
 from chronoloom.streaming import streams
 
@@ -98,9 +98,9 @@ def seasonal_band(spark, d):
     return ad.seasonal_band(hourly(spark, d), BY, ORDER, "y", 24)
 
 
-@query("shifting_band", "time smooth:d is_anomaly", SQL["shifting_band"])
+@query("shifting_band", "sid:l time smooth:d is_anomaly", SQL["shifting_band"])
 def shifting_band(spark, d):
-    return ad.shifting_band(hourly(spark, d), BY, "time", "y", 24, 2.0)
+    return ad.shifting_band(supplied(spark, d), BY, "time", "y", 24, 2.0)
 
 
 @query("knn_distance", "sid time knn_mean:d knn_max:d", f"WITH {SHIPPED}, p AS (SELECT a.sid, a.time, min(abs(a.rev - b.rev), 5) AS d FROM s a JOIN s b ON a.sid = b.sid AND a.time <> b.time GROUP BY 1, 2)\n---\nSELECT sid, time, list_avg(d) AS knn_mean, list_max(d) AS knn_max FROM p")
@@ -206,9 +206,9 @@ def on_off_any(spark, d):
     return smooth.on_off(hourly(spark, d), BY, ORDER, "y", 70, 5, "or")
 
 
-@query("lowess", "time smooth:d low:d high:d", SQL["lowess"])
+@query("lowess", "sid:l time smooth:d low:d high:d", SQL["lowess"])
 def lowess(spark, d):
-    return smooth.lowess(hourly(spark, d), BY, "time", "y", 0.1)
+    return smooth.lowess(supplied(spark, d), BY, "time", "y", 0.1)
 
 
 @query("kalman", "sid time smooth:d slope:d", SQL["kalman"])
@@ -305,9 +305,9 @@ def panel_usmr(spark, d):
     return fc.forecast("USMR", t.filter(F.col("time") < cut), t.filter(F.col("time") >= cut).drop("y"), BY, "y", [], [], [1, 2, 24], 24)
 
 
-@query("windowed_forecast", "time predict_value:d", SQL["windowed_forecast"])
+@query("windowed_forecast", "sid:l time predict_value:d", SQL["windowed_forecast"])
 def windowed_forecast(spark, d):
-    return fc.windowed_forecast(hourly(spark, d), BY, "y", fc.ar_fit, "multiple", 24, 12)
+    return fc.windowed_forecast(supplied(spark, d), BY, "y", fc.ar_fit, "multiple", 24, 12)
 
 
 @query("forecast_interval", "time step:i predict_value:d low:d high:d", SQL["forecast_interval"])
@@ -400,9 +400,9 @@ def random_search(spark, d):
     return bt.random_search(h, bt.fold_bounds(h, BY, 3), BY, "y", ["y_lag_24", "y_lag_48"], {"penalty": PENALTIES}, make)
 
 
-@query("walk_forward_refit", "time predict_value:d", SQL["walk_forward_refit"])
+@query("walk_forward_refit", "sid:l time predict_value:d", SQL["walk_forward_refit"])
 def walk_forward_refit(spark, d):
-    return bt.walk_forward_refit(hourly(spark, d), BY, "y", 2, 100)
+    return bt.walk_forward_refit(supplied(spark, d), BY, "y", 2, 100)
 
 
 @query("panel_cv_best_model", "sid naive:d seasonal_naive:d best_model", SQL["panel_cv_best_model"])
@@ -497,9 +497,14 @@ def bayes_var(spark, d):
     return sta.bayes_var(shipped(spark, d), BY, ["qty", "rev"])
 
 
-@query("factor_impute", "sid time imputed:d")
+@query("factor_impute", "panel:i sid:l time imputed:d")
 def factor_impute(spark, d):
-    return sta.factor_impute(typed(spark, d).withColumn("panel", F.lit(1)), ["panel", "sid"], "y")
+    """The suppliers of a nation are a panel: their months, with gaps where nothing was shipped."""
+    month = F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("time")
+    got = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sid"), month).agg(F.avg("l_quantity").alias("y"))
+    panels = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sid"), F.col("s_nationkey").alias("panel"))
+    months = got.select("time").distinct()
+    return sta.factor_impute(panels.crossJoin(F.broadcast(months)).join(got, ["sid", "time"], "left"), ["panel", "sid"], "y")
 
 
 def _stream(spark, d, make, mode):
