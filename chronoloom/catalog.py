@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.queries import exponential, features, horizon, models, online, preparation, trees, tuning, vectors  # noqa: F401  they register themselves
+from chronoloom.queries import envelope, exponential, features, horizon, models, online, preparation, trees, tuning, vectors  # noqa: F401  they register themselves
 from chronoloom.queries.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
