@@ -7,14 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A lookup side is broadcast only below this many rows.
-LOOKUP_ROWS = 200_000
-
 
 def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a dimension; it is broadcast if it is counted to be small."""
-    small = dim.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
-    return df.join(F.broadcast(dim) if small else dim, list(keys), how)
+    """Join a dimension. No hint: the optimizer broadcasts it by its bytes, from statistics or as adaptive execution measures them, and shuffles it beyond its threshold."""
+    return df.join(dim, list(keys), how)
 
 
 def members(df: DataFrame, ids: DataFrame, keys: Sequence[str], inside: bool = True) -> DataFrame:
@@ -42,7 +38,7 @@ def gather_pairs(df: DataFrame, pairs: DataFrame, date: str, key: str, value: st
     """(date, i, j, left, right, spread) for the pairs (i, j) of ids; j = -1 has no counterpart and counts as zero."""
     left = df.select(F.col(date), F.col(key).alias("i"), F.col(value).alias("left"))
     right = df.select(F.col(date), F.col(key).alias("j"), F.col(value).alias("right"))
-    got = left.join(F.broadcast(pairs) if pairs.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else pairs, "i").join(right, [date, "j"], "left")
+    got = left.join(pairs, "i").join(right, [date, "j"], "left")
     got = got.filter((F.col("j") == -1) | F.col("right").isNotNull()).withColumn("right", F.coalesce("right", F.lit(0.0)))
     return got.select(date, "i", "j", "left", "right", (F.col("left") - F.col("right")).alias("spread"))
 

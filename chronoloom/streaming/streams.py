@@ -40,11 +40,18 @@ def sessions(stream: DataFrame, time: str, key: str, gap: str, delay: str = "1 h
     return got.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def point_check(stream: DataFrame, key: str, time: str, column: str, window: int = 24, k: float = 3.0) -> DataFrame:
-    """Each value against the last ``window`` ones of its series, kept as state; an anomaly doesn't enter the state."""
+def point_check(stream: DataFrame, key: str, time: str, column: str, window: int = 24, k: float = 3.0, delay: str = "1 hour", idle_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Each value against the last ``window`` ones of its series, kept as state; an anomaly doesn't enter the state.
+
+    The state of a series goes once the watermark is ``idle_ms`` past its last value; it begins anew with the next one.
+    """
 
     def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         past = list(state.get[0]) if state.exists else []
+        last = state.get[1] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values(time, kind="stable")
         out = []
         for t, v in zip(rows[time], rows[column], strict=True):
@@ -52,11 +59,15 @@ def point_check(stream: DataFrame, key: str, time: str, column: str, window: int
             odd = bool(mean is not None and abs(v - mean) > k * spread)
             out.append((name[0], t, float(v), mean, odd))
             past = (past + [mean if odd else float(v)])[-window:]
-        state.update((past,))
+        last = max(last, int(rows[time].max().value // 1_000_000))
+        state.update((past, last))
+        state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, time, column, "smooth", "is_anomaly"])
 
-    kind, t = stream.schema[key].dataType.simpleString(), stream.schema[time].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {time} {t}, {column} double, smooth double, is_anomaly boolean", "past array<double>", "append", GroupStateTimeout.NoTimeout)
+    kind, t = stream.schema[key].dataType.simpleString(), stream.schema[time].dataType
+    schema = f"{key} {kind}, {time} timestamp, {column} double, smooth double, is_anomaly boolean"
+    got = with_watermark(stream, time, delay).groupBy(key).applyInPandasWithState(run, schema, "past array<double>, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return got.withColumn(time, F.col(time).cast(t))
 
 
 class RecursiveRegression(StatefulProcessor):

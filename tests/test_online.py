@@ -106,3 +106,16 @@ def test_alarms_in_append_mode(spark, tmp_path):
     stream = write(spark, str(tmp_path / "in"), [[("a", T0, 1.0, 0.0, 0.0), ("a", T0 + timedelta(minutes=5), 99.0, 0.0, 0.0)], [("a", T0 + timedelta(hours=9), None, 0.0, 0.0)]])
     got = streams.run_to_end(streams.window_alarm(stream, "time", "y", 0, 60, 100), "alarm", "append", spark)
     assert [(r.mean, r["var"], r.alarm) for r in got.select("mean", "var", F.col("alarm")).collect()] == [(50.0, 2401.0, True)]
+
+
+def test_point_check_forgets_idle_series(spark, tmp_path):
+    at = lambda sid, hours, y: [(sid, T0 + timedelta(hours=h), float(v), 0.0, 0.0) for h, v in zip(hours, y, strict=True)]
+    first = at("a", range(5), [1, 2, 1, 2, 1]) + at("b", range(5), [1, 2, 1, 2, 1])
+    more = at("b", range(20, 22), [2, 90])
+    stream = write(spark, str(tmp_path / "in"), [first, more, at("b", [40], [1]), at("a", [41], [90]) + at("b", [41], [90])])
+    got = streams.run_to_end(streams.point_check(stream, "sid", "time", "y", window=4, delay="1 hour", idle_ms=6 * 3_600_000), "points", "append", spark).collect()
+    by = {(r.sid, r.time): r for r in got}
+    assert len(by) == len(got) == 15
+    hour = lambda h: T0 + timedelta(hours=h)
+    assert by["b", hour(4)].smooth == 1.5 and not by["b", hour(4)].is_anomaly
+    assert by["a", hour(41)].smooth is None and not by["a", hour(41)].is_anomaly  # forgotten, so begun anew
