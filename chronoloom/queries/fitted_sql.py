@@ -247,7 +247,7 @@ t AS (SELECT x.*, a.e, list_dot_product(x.x, a.v) AS m, list_transform(x.x, lamb
 i AS (SELECT c.c[2][2] * c.c[3][3] - c.c[2][3] ** 2 AS a11, c.c[1][3] * c.c[2][3] - c.c[1][2] * c.c[3][3] AS a12, c.c[1][2] * c.c[2][3] - c.c[1][3] * c.c[2][2] AS a13, c.c[1][1] * c.c[3][3] - c.c[1][3] ** 2 AS a22, c.c[1][2] * c.c[1][3] - c.c[1][1] * c.c[2][3] AS a23, c.c[1][1] * c.c[2][2] - c.c[1][2] ** 2 AS a33, c.c FROM c),
 u AS (SELECT sid, time, m * m / e AS major_score, (a11 * o[1] ** 2 + a22 * o[2] ** 2 + a33 * o[3] ** 2 + 2 * (a12 * o[1] * o[2] + a13 * o[1] * o[3] + a23 * o[2] * o[3])) / (c[1][1] * a11 + c[1][2] * a12 + c[1][3] * a13) AS minor_score, list_dot_product(o, o) AS reconstruction FROM t, i)
 ---
-SELECT *, major_score > (SELECT quantile_cont(major_score, 0.99) FROM u) OR minor_score > (SELECT quantile_cont(minor_score, 0.99) FROM u) AS is_anomaly FROM u"""
+SELECT * REPLACE (round(reconstruction, 4) AS reconstruction), major_score > (SELECT quantile_cont(major_score, 0.99) FROM u) OR minor_score > (SELECT quantile_cont(minor_score, 0.99) FROM u) AS is_anomaly FROM u"""
 
 
 def share(key: str, seed: int = 42) -> str:

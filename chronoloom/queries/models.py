@@ -152,7 +152,8 @@ def one_class(spark, d):
 
 @query("pca_score", "sid time major_score:d minor_score:d reconstruction:d is_anomaly", SQL["pca_score"])
 def pca_score(spark, d):
-    return ad.pca_scores(shipped(spark, d), ["qty", "rev", "disc"], 1)
+    got = ad.pca_scores(shipped(spark, d), ["qty", "rev", "disc"], 1)
+    return got.withColumn("reconstruction", F.round("reconstruction", 4))  # in the thousands, where six digits are beyond what sums of squares agree on
 
 
 @query("kmeans_window", "time score:d")
