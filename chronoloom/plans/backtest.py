@@ -69,8 +69,14 @@ def scores(predictions: DataFrame, by: Cols, y: str = "y", p: str = "predict_val
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """The deviation of each column; 1 for a constant one, whose deviation may be rounding of its mean."""
+    s = x.std(0)
+    return np.where(s > 1e-12 * np.abs(x).max(0, initial=0.0), s, 1.0)
+
+
 def ridge_kernel(x: np.ndarray, y: np.ndarray, new: np.ndarray, penalty: float = 1e-6) -> np.ndarray:
-    m, s = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+    m, s = x.mean(0), _spread(x)
     z = np.c_[np.ones(len(x)), (x - m) / s]
     w = np.linalg.solve(z.T @ z + penalty * np.eye(z.shape[1]), z.T @ y)
     return np.c_[np.ones(len(new)), (new - m) / s] @ w
@@ -165,7 +171,7 @@ def panel_cv(df: DataFrame, by: Cols, target: str, horizon: int, windows: int, s
 
 def _scaled_ridge(x: np.ndarray, y: np.ndarray, penalty: float) -> Callable[[np.ndarray], np.ndarray]:
     """Rows to predictions of all columns of ``y``; the scaler is part of the fit."""
-    m, s = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+    m, s = x.mean(0), _spread(x)
     z = np.c_[np.ones(len(x)), (x - m) / s]
     w = np.linalg.solve(z.T @ z + penalty * np.eye(z.shape[1]), z.T @ y)
     return lambda new: np.r_[1.0, (new - m) / s] @ w
@@ -252,7 +258,7 @@ def backtest_recursive(df: DataFrame, bounds: DataFrame, by: Cols, target: str,
         p = np.full(len(test), np.nan)
         if len(y) > k + len(steps) + len(cols) + 1 and len(test):
             a = np.column_stack([y[k - s : len(y) - s] for s in steps] + [x[k:, j] for j in range(len(cols))])
-            m, s = a.mean(0), np.where(a.std(0) > 0, a.std(0), 1)
+            m, s = a.mean(0), _spread(a)
             z = np.c_[np.ones(len(a)), (a - m) / s]
             w = np.linalg.solve(z.T @ z + penalty * np.eye(z.shape[1]), z.T @ y[k:])
             p = np.array(recursive_kernel(lambda v: float(w[0] + w[1:] @ ((v - m) / s)), y, test[cols].to_numpy(float), steps))

@@ -93,3 +93,12 @@ def test_nothing_of_the_test_part_is_seen(spark):
         a, b = (sorted((r.series_id, r.step, r.predict_value) for r in bt.backtest_method(x.select("series_id", "time", "y", "n"), bounds, ["series_id"], "y", ["n"], [], [1, 24], method).collect()) for x in (df, spoilt))
         assert len(a) == 48 and a == b
     assert bt.backtest_method(df.limit(0), bounds.limit(0), ["series_id"], "y", ["n"], [], [1], "MSMR").count() == 0
+
+
+def test_a_constant_column_tells_nothing():
+    r = np.random.default_rng(5)
+    y = np.cumsum(r.normal(size=(50, 1)), axis=0)
+    x = np.full((50, 1), 0.1 + 0.2)
+    for method in ("USMDO", "USMD", "USMR"):
+        far = bt.method_kernel(method, y, x, np.full((4, 1), 77.0), STEPS)
+        assert np.allclose(far, bt.method_kernel(method, y, x, x[:4], STEPS), atol=1e-3)
