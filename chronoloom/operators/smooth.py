@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.align import over
+from chronoloom.operators.chunks import each_series
 
 Cols = Sequence[str]
 
@@ -55,37 +55,44 @@ def on_off(df: DataFrame, by: Cols, order: Cols, column: str, threshold: float,
     return df.withColumn("smooth", F.when(x > threshold, 1).otherwise(0))
 
 
-def _series(df: DataFrame, by: Cols, order: str, column: str, kernel, out: str) -> DataFrame:
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(**kernel(pdf[column].to_numpy(float)))
-
-    return df.groupBy(*by).applyInPandas(run, f"{ddl}, {out}")
+#: Weights held at once by ``lowess_kernel``.
+CELLS = 1 << 18
 
 
 def lowess_kernel(y: np.ndarray, share: float = 0.3) -> dict[str, np.ndarray]:
-    """Tricube-weighted local lines, with a band of 1.96 residual deviations."""
-    n = len(y)
-    t, k = np.arange(n, dtype=float), max(3, int(np.ceil(share * n)))
-    known = ~np.isnan(y)
-    fit = np.full(n, np.nan)
-    for i in range(n):
-        d = np.abs(t - t[i])
-        h = np.sort(d[known])[min(k, known.sum()) - 1] if known.any() else 1.0
-        w = np.where(known, np.clip(1 - (d / max(h, 1e-9) / 1.0001) ** 3, 0, None) ** 3, 0)
-        s, m = w.sum(), (w * t).sum() / max(w.sum(), 1e-12)
-        if s > 0:
-            ym = np.nansum(w * np.where(known, y, 0)) / s
-            var = (w * (t - m) ** 2).sum()
-            fit[i] = ym + ((w * (t - m) * (np.where(known, y, ym) - ym)).sum() / var * (t[i] - m) if var > 1e-12 else 0)
-    s = np.nanstd(y - fit) if known.any() else np.nan
+    """Tricube-weighted local lines, with a band of 1.96 residual deviations; many positions at once, each with the weights within its reach only."""
+    n, known = len(y), ~np.isnan(y)
+    at, fit = np.flatnonzero(known), np.full(n, np.nan)
+    if not len(at):
+        return {"smooth": fit, "low": fit, "high": fit}
+    t, k = np.arange(n), min(max(3, int(np.ceil(share * n))), len(at))
+    first, last = at[: len(at) - k + 1], at[k - 1 :]  # of each run of k known positions
+    turn = np.searchsorted(first + last, 2 * t)  # of the first run whose middle isn't before the position: it or the one before is nearest
+    h = np.minimum(*(np.maximum(t - first[j], last[j] - t) for j in (turn.clip(0, len(first) - 1), (turn - 1).clip(0, len(first) - 1))))
+    order, reach = np.argsort(h, kind="stable"), (h * 1.0001).astype(int)
+    i = 0
+    while i < n:
+        rows = order[i : i + max(1, CELLS // (2 * int(reach[order[i]]) + 1))]
+        r = int(reach[rows[-1]])
+        rows = rows[: max(1, CELLS // (2 * r + 1))]
+        i += len(rows)
+        x = np.arange(-r, r + 1, dtype=float)
+        seen, ys = (np.lib.stride_tricks.sliding_window_view(np.pad(v, r), 2 * r + 1)[rows] for v in (known, np.where(known, y, 0.0)))
+        d = np.abs(x) / (np.maximum(h[rows], 1e-9) * 1.0001)[:, None]
+        w = np.clip(1 - d * d * d, 0, None)
+        w = w * w * w * seen
+        s = w.sum(1)
+        m, ym = w @ x / s, (w * ys).sum(1) / s
+        wx = w * (x - m[:, None])
+        var = (wx * (x - m[:, None])).sum(1)
+        slope = (wx * (ys - ym[:, None])).sum(1) / np.where(var > 1e-12, var, np.inf)
+        fit[rows] = ym - slope * m
+    s = np.nanstd(y - fit)
     return {"smooth": fit, "low": fit - 1.96 * s, "high": fit + 1.96 * s}
 
 
 def lowess(df: DataFrame, by: Cols, order: str, column: str, share: float = 0.3) -> DataFrame:
-    return _series(df, by, order, column, lambda y: lowess_kernel(y, share), "smooth double, low double, high double")
+    return each_series(df, by, order, column, lambda y: lowess_kernel(y, share), "smooth double, low double, high double")
 
 
 def kalman_kernel(y: np.ndarray, level: float = 0.1, trend: float = 0.01, noise: float = 1.0) -> dict[str, np.ndarray]:
@@ -110,4 +117,4 @@ def kalman_kernel(y: np.ndarray, level: float = 0.1, trend: float = 0.01, noise:
 
 
 def kalman(df: DataFrame, by: Cols, order: str, column: str, level: float = 0.1, trend: float = 0.01, noise: float = 1.0) -> DataFrame:
-    return _series(df, by, order, column, lambda y: kalman_kernel(y, level, trend, noise), "smooth double, slope double")
+    return each_series(df, by, order, column, lambda y: kalman_kernel(y, level, trend, noise), "smooth double, slope double")
