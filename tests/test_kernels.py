@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from chronoloom.operators import chunks, smooth
+from chronoloom.operators import anomaly, chunks, smooth
 
 
 def plain_lowess(y, share):
@@ -58,3 +58,26 @@ def test_series_longer_and_shorter_than_a_batch(spark):
     for r in got:
         own = [y for k, _, y in rows if k == r.sid]
         assert (r.n, r["sum"], r.at) == (len(own), sum(y or 0 for y in own), r.t)
+
+
+@pytest.mark.parametrize("k", [0.5, 2.0, 4.0])
+@pytest.mark.parametrize("gaps", [0.0, 0.1, 1.0])
+def test_shifting_band_step_by_step(monkeypatch, k, gaps):
+    r, p = np.random.default_rng(5), 6
+    made = np.lib.stride_tricks.sliding_window_view
+    calls = []
+    monkeypatch.setattr(np.lib.stride_tricks, "sliding_window_view", lambda *a: calls.append(1) or made(*a))
+    for n in (0, 3, 12, 13, 700):
+        y = np.where(r.random(n) < gaps, np.nan, r.normal(50, 10, n) + 60 * (r.random(n) < 0.03))
+        calls.clear()
+        got = anomaly.shifting_kernel(y, p, k)
+        z, flag, smooth_ = y.copy(), np.zeros(n, bool), np.full(n, np.nan)
+        for i in range(2 * p, n):
+            past = z[i - 2 * p : i]
+            smooth_[i] = past[p:].mean() + (past[p] + past[0] - past[:p].mean() - past[p:].mean()) / 2
+            if np.isnan(z[i]) or abs(z[i] - smooth_[i]) > k * past.std():
+                flag[i], z[i] = not np.isnan(z[i]), smooth_[i]
+        np.testing.assert_allclose(got["smooth"], smooth_, rtol=1e-12)
+        assert (got["is_anomaly"] == flag).all()
+        if n == 700 and k == 4.0 and not gaps:
+            assert len(calls) < n / 4  # not a step a row
