@@ -227,3 +227,27 @@ def test_empty_and_constant(spark, tmp_path):
         assert back.predict(df).drop("late").fillna(-1).collect() == m.predict(df).drop("late").fillna(-1).collect() and back.importance() == m.importance()
     with pytest.raises(ValueError):
         Boosting(objective="other").fit(df, ["a"], ["y"])
+
+
+def test_a_batch_of_blocks_is_bounded(spark, monkeypatch):
+    """Every pass of a fit runs with small Arrow batches, which are read without a copy; the session's limit is as before."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    name, seen, whole = "spark.sql.execution.arrow.maxBytesPerBatch", [], trees._pass
+    monkeypatch.setattr(trees, "_pass", lambda *a: seen.append(int(spark.conf.get(name).removesuffix("b"))) or whole(*a))
+    before = spark.conf.get(name)
+    df = spark.createDataFrame([(float(i % 7), float(i % 5), i % 2) for i in range(200)], "a double, y double, label int")
+    trees.Boosting(rounds=2, rows=1).fit(df, ["a"], ["y"])
+    trees.ExtraTrees(trees=1, depth=2).fit(df, ["a"], ["y"])
+    trees.AdaBoost(rounds=2).fit(df, ["a"], "label")
+    assert seen and max(seen) <= 8 << 20 and spark.conf.get(name) == before
+    n = trees.BLOCK
+    one = trees._block(False, np.arange(n), np.zeros((n, 5), np.uint8), np.ones((n, 1)), np.zeros((n, 1)))
+    batch = pa.Table.from_batches([one] * 16).combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    rows = sum(len(k) for _, k, *_ in trees._opened([batch], 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 16 * n and peak < batch.nbytes / 16
