@@ -119,3 +119,36 @@ def test_point_check_forgets_idle_series(spark, tmp_path):
     hour = lambda h: T0 + timedelta(hours=h)
     assert by["b", hour(4)].smooth == 1.5 and not by["b", hour(4)].is_anomaly
     assert by["a", hour(41)].smooth is None and not by["a", hour(41)].is_anomaly  # forgotten, so begun anew
+
+
+def test_point_check_holds_no_rows_as_objects(spark, tmp_path, monkeypatch):
+    """A series' rows in a micro-batch are sorted as numbers and returned in parts; the rows are those of one step at a time."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    held = []
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandasWithState", lambda self, run, *a: held.append(run) or spark.createDataFrame([], a[0]))
+    spark.createDataFrame([("a", None, 1.0)], "sid string, time timestamp, y double").write.parquet(str(tmp_path / "s"))
+    streams.point_check(spark.readStream.schema("sid string, time timestamp, y double").parquet(str(tmp_path / "s")), "sid", "time", "y", window=4, k=1.5)
+    n, r = 60_000, np.random.default_rng(2)
+    at, y = r.permutation(n), r.normal(0, 1, n)
+    put = []
+    state = SimpleNamespace(hasTimedOut=False, exists=False, update=put.append, setTimeoutTimestamp=put.append, getCurrentWatermarkMs=lambda: 0)
+    batches = (pd.DataFrame({"sid": "a", "time": pd.to_datetime(at[i : i + 5000], unit="s"), "y": y[i : i + 5000]}) for i in range(0, n, 5000))
+    tracemalloc.start()
+    sizes, first = [], []
+    for out in held[0](("a",), batches, state):
+        sizes.append(len(out))
+        first += out.head(300).itertuples(index=False) if not first else []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == n and max(sizes) <= 10_000 and put[0][1] == (n - 1) * 1000 and peak < 100 * n
+    past = []
+    for got, v in zip(first, y[np.argsort(at)], strict=False):
+        mean = np.mean(past) if len(past) == 4 else np.nan
+        odd = len(past) == 4 and abs(v - mean) > 1.5 * np.std(past)
+        assert got.y == v and got.is_anomaly == odd and (np.isnan(got.smooth) if np.isnan(mean) else got.smooth == mean)
+        past = [*past, mean if odd else v][-4:]
