@@ -73,3 +73,32 @@ def test_odd_tables(spark):
     assert flat.filter("distance IS NOT NULL").count() == 20
     one = en.elliptic_envelope(spark.createDataFrame([(1, 1.0, 2.0, 3.0)], SCHEMA), ["a", "b"])
     assert one.count() == 1 and one.filter("is_anomaly").count() == 0
+
+
+@pytest.mark.parametrize("guess", [0.0, 1e-9, 0.999, 1.0, 1.3, 1e12])
+def test_limits_whatever_is_expected(spark, guess):
+    x = cloud(900, 300, 3)
+    x[::7] = x[0]  # many equal distances
+    m, c = x.mean(0), np.cov(x.T, ddof=0)
+    d = en._distances(x, m, c)
+    blocks = en._blocks(spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double, c double").repartition(3))
+    for share in (0.01, 0.5, 1.0):
+        limit = np.sort(d)[math.ceil(share * len(d)) - 1]
+        ((got, (n, mean, cov)),) = en._nearest(blocks, len(x), 3, [(m, c)], share, [limit * guess])
+        at = d <= limit * (1 + 1e-11)
+        assert got == pytest.approx(limit, rel=1e-11) and n == at.sum()
+        assert np.allclose(mean, x[at].mean(0)) and np.allclose(cov, np.cov(x[at].T, ddof=0), atol=1e-9)
+
+
+def test_steps_do_not_read_the_table_again(spark):
+    x = cloud(3000, 700, 4)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], SCHEMA).mapInArrow(count, SCHEMA)
+    assert en.fit_envelope(df, ["a", "b", "c"]).support > 0
+    assert len(x) <= read.value <= 5 * len(x)  # counted, sampled, made blocks of, and two medians
