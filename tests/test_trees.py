@@ -251,3 +251,57 @@ def test_a_batch_of_blocks_is_bounded(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 16 * n and peak < batch.nbytes / 16
+
+
+def test_boosting_l1_fits_all_rounds(spark, sf, monkeypatch):
+    """The query leaves the learner's 1000 rounds and its rate as they are."""
+    from chronoloom.catalog import QUERIES
+    from chronoloom.plans import learners
+
+    seen = []
+
+    def fit(self, df, features, targets, valid=None):
+        seen.append(self.params())
+        return trees.TreeModel(trees.Bins(list(features), [np.zeros(0)] * len(features)), list(targets), [0.0], [])
+
+    monkeypatch.setattr(Boosting, "fit", fit)
+    assert QUERIES["boosting_l1"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert seen == [learners.create("lgb").params()] and seen[0]["rounds"] == 1000 and seen[0]["rate"] == 0.05
+
+
+def test_absolute_loss_by_cells(spark, monkeypatch):
+    """Pairs of features or single ones, medians by bins alone, few or many parts: the same trees; samples and a held-out part keep their rows apart."""
+    rows = table(400, 11)
+    df = spark.createDataFrame(rows, SCHEMA)
+    learner = Boosting(objective="mae", rounds=5, rate=0.5, leaves=6, bins=8, rows=3, l1=0.5, l2=0.5, row_share=0.8, feature_share=0.7)
+    want = learner.fit(df, ["a", "b", "c"], ["y"], F.col("late"))
+    monkeypatch.setattr(trees, "BLOCK", 13)
+    monkeypatch.setattr(trees, "CUT", 2)
+    monkeypatch.setattr(trees, "PAIRS", 0)
+    monkeypatch.setattr(trees, "MEDIAN_LEFT", 0)
+    got = learner.fit(df.repartition(5), ["a", "b", "c"], ["y"], F.col("late"))
+    assert [vars(t) for t in got.trees] == [vars(t) for t in want.trees] and np.allclose([h["valid"] for h in got.history], [h["valid"] for h in want.history])
+    x, y, late = arrays(rows, [3])
+    codes = want.bins.codes(list(x.T))
+    m = np.full(len(y), want.start[0])
+    for t, h in zip(want.trees, want.history, strict=False):
+        assert math.isclose(np.abs(m - y[:, 0])[~late].mean(), h["train"]) and math.isclose(np.abs(m - y[:, 0])[late].mean(), h["valid"])
+        m = m + t.values(codes)[:, 0]
+    flat = spark.createDataFrame([(float(i % 3), 5.0 if i % 4 else math.inf) for i in range(60)], "a double, y double")
+    learner = Boosting(objective="mae", rounds=3, rows=1)
+    assert learner.fit(flat, ["a"], ["y"]).predict(flat).filter("y_hat = 5").count() == 60
+    assert learner.fit(flat.limit(0), ["a"], ["y"]).trees == []
+    whole = spark.createDataFrame([(float(i % 2), math.inf if i % 2 else 1.0) for i in range(60)], "a double, y double")
+    assert learner.fit(whole, ["a"], ["y"]).history[-1]["train"] in (0, math.inf)
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 31, 64, 90])
+def test_lookup_equals_walking_the_tree(leaves):
+    r = random.Random(leaves)
+    tree, open_ = trees.Tree(), [0]
+    while len(open_) < leaves:
+        node = open_.pop(r.randrange(len(open_)))
+        open_ += tree.split(node, r.randrange(3), r.randrange(1, 32), r.random() < 0.5, 1.0)
+    codes = np.random.default_rng(leaves).integers(0, 33, (500, 3)).astype(np.uint8)
+    given = np.arange(len(tree.feature))
+    assert (trees.Lookup(tree, given, 33)(np.ascontiguousarray(codes.T)) == tree.nodes(codes)).all()
